@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import ranked, table
+from edgeloom.llm import language_id
+from edgeloom.llm.common import held_out, ranked, table
 from edgeloom.llm.decontaminate import contamination, is_contaminated
 from edgeloom.llm.fingerprints import edited_fingerprints
 from edgeloom.llm.packed_ids import token_file_round_trip
@@ -18,6 +19,13 @@ from edgeloom.llm.token_counts import token_counts
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~held_out()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_file_round_trip(docs, public_tokenizers.path(BYTE_BPE), end_id=2, vocabulary=50_257)
@@ -104,6 +112,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN its USING (rid)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_output": op2_token_output,
         "op6_token_counts": op6_token_counts,
         "op7_fingerprints": op7_fingerprints,
