@@ -92,3 +92,38 @@ def ranked(df: DataFrame, keys: list[str], label: str) -> DataFrame:
         .withColumn("rank", F.col("_at") + F.col("_m").bitwiseAND((1 << 33) - 1))
         .drop("_m", "_p", "_at")
     )
+
+
+#: Texts of more bytes are not learned from, so that what a training set needs stays bounded.
+TRAIN_BYTES = 1 << 15
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, wanted: int, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` with a known ``label``, none of them held out: about
+    ``wanted`` of each value (at most twice that), chosen by a hash of ``key``.
+
+    Only keys and labels are looked through; the chosen keys, of bounded
+    number, are sent to the scan of the documents, whose texts stay in place.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("label"))
+    known = known.groupBy(key).agg(F.max("label").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = None
+    for value, n in sorted(counts.items()):
+        part = known.filter((F.col("label") == value) & share(key, n, wanted)).orderBy(F.xxhash64(key)).limit(2 * wanted)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        chosen = known
+    return docs.join(F.broadcast(chosen), key).filter(F.octet_length("text") <= TRAIN_BYTES)
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows for which ``decide(batch)``, given and giving arrays, is true; no shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import language_id
+from edgeloom.llm import language_id, toxicity
 from edgeloom.llm.common import held_out, ranked, table
 from edgeloom.llm.decontaminate import contamination, is_contaminated
 from edgeloom.llm.fingerprints import edited_fingerprints
@@ -31,6 +31,13 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(docs, public_tokenizers.path(BYTE_BPE), end_id=2, vocabulary=50_257)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
@@ -114,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_token_output": op2_token_output,
+        "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_fingerprints": op7_fingerprints,
         "op9_chat_formatting": op9_chat_formatting,

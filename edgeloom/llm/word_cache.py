@@ -128,11 +128,11 @@ class WordCache:
                 lists.append(self._parts(texts[at]))
                 size += len(texts[at])
                 at += 1
-            first = {x[0] for x in lists} - self.bare.keys()
+            first = {x[0] for x in lists if x[0] not in self.bare}
             rest: set[str] = set()
             for x in lists:
                 rest.update(x[1:])
-            rest -= self.after.keys()
+            rest = {w for w in rest if w not in self.after}
             if first:
                 self._learn(first, False, self.bare)
             if rest:
