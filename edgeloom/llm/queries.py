@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import language_id, toxicity
+from edgeloom.llm import language_id, quality, toxicity
 from edgeloom.llm.common import held_out, ranked, table
 from edgeloom.llm.decontaminate import contamination, is_contaminated
 from edgeloom.llm.fingerprints import edited_fingerprints
@@ -31,6 +31,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(docs, public_tokenizers.path(BYTE_BPE), end_id=2, vocabulary=50_257)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality(docs, model).withColumn("held_out", held_out())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_token_output": op2_token_output,
+        "op3_quality": op3_quality,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_fingerprints": op7_fingerprints,
