@@ -8,15 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import language_id, quality, toxicity
+from edgeloom.llm import language_id, quality, sentencepieces, toxicity
 from edgeloom.llm.common import held_out, ranked, table
 from edgeloom.llm.decontaminate import contamination, is_contaminated
 from edgeloom.llm.fingerprints import edited_fingerprints
+from edgeloom.llm.near_duplicates import near_duplicate_classes
 from edgeloom.llm.packed_ids import token_file_round_trip
 from edgeloom.llm.reply_trees import chat_format, read_loss, read_turns
 from edgeloom.llm.token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, model).withColumn("held_out", held_out())
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +58,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -128,9 +138,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_token_output": op2_token_output,
         "op3_quality": op3_quality,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_fingerprints": op7_fingerprints,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_decontamination": op10_decontamination,
     }
