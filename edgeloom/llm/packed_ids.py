@@ -171,7 +171,7 @@ _encoders: dict = {}
 
 def _encode(path: str, texts: list[str]) -> list[bytes]:
     if path not in _encoders:
-        _encoders[path] = WordCache(path, lambda x: np.array(x.ids, dtype="<u4").tobytes(), b"".join, limit=400_000)
+        _encoders[path] = WordCache(path, count=False, limit=600_000)
     return _encoders[path].encode(texts)
 
 

@@ -32,7 +32,7 @@ def library_counts(path: str, texts: list[str]) -> list[int]:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             _counters[path] = lambda batch: [len(x) for x in model.encode(batch, num_threads=1)]
         else:
-            _counters[path] = WordCache(path, len, sum).encode
+            _counters[path] = WordCache(path, count=True).encode
     return _counters[path](texts)
 
 

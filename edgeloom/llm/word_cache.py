@@ -3,19 +3,21 @@
 Texts are split at safe boundaries only: a space with a character other than
 white space on both sides. The byte-level pre-tokeniser always starts a new
 piece at such a space, so the pieces' results put together are the whole
-text's result. A word's result is kept until the memory holds ``limit`` words,
-then the memory is emptied.
+text's result. Words' results are kept in two generations of half of ``limit``
+words: when the younger is full it becomes the older one, whose words are taken
+over when they are met again, so frequent words stay. New words are encoded
+many at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+
+import numpy as np
 
 SPACES = re.compile(r"\s\s")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-TAIL = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#]+)")
 
 _tokenizers: dict = {}
 
@@ -52,73 +54,63 @@ def separable(path: str) -> bool:
 
 
 class WordCache:
-    """``result``: from the library's encoding to what is kept of a piece of text;
-    results of adjacent pieces are put together by ``join``."""
+    """``count``: keep numbers of tokens; else ids as little-endian 32-bit integers."""
 
-    def __init__(self, path: str, result: Callable, join: Callable[[Iterable], object], limit: int = 700_000) -> None:
-        self.path, self.result, self.join, self.limit = path, result, join, limit
+    def __init__(self, path: str, count: bool, limit: int = 900_000) -> None:
+        self.path, self.count, self.limit = path, count, limit
+        self.join = sum if count else b"".join
         self.split = separable(path)
+        vocabulary = load(path).get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.after: dict[str, object] = {}  # by word, with a space before it
         self.bare: dict[str, object] = {}  # without
+        self.older: tuple[dict[str, object], dict[str, object]] = ({}, {})
 
     def library(self, texts: list[str]) -> list:
-        encode = load(self.path).encode_batch_fast
-        return [self.result(x) for x in encode(texts, add_special_tokens=False)]
+        encoded = load(self.path).encode_batch_fast(texts, add_special_tokens=False)
+        return [len(x) if self.count else np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
+
+    def _learn(self, words: set[str]) -> None:
+        """Words after a space. Many are encoded as one text: each begins at the
+        one token with a space if it has no space inside."""
+        plain = [w for w in words if " " not in w]
+        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        encoded = load(self.path).encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, x in zip(groups, encoded, strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            if len(at) != len(group) + 1 or at[0]:
+                self.after.update(zip(group, self.library([" " + w for w in group]), strict=True))
+            elif self.count:
+                self.after.update(zip(group, np.diff(at).tolist(), strict=True))
+            else:
+                data, ends = ids.tobytes(), (4 * at).tolist()
+                self.after.update(zip(group, [data[i:j] for i, j in zip(ends, ends[1:])], strict=True))
+        rest = [w for w in words if " " in w]
+        self.after.update(zip(rest, self.library([" " + w for w in rest]), strict=True))
 
     def _parts(self, text: str) -> list[str]:
         return SAFE.split(text) if SPACES.search(text) else text.split(" ")
 
-    def _smaller(self, word: str, space: bool) -> list[str] | None:
-        """Pieces of a word between which the pre-tokeniser always cuts."""
-        lead = " " if space else ""
-        if "\n" in word and len(word) > 1:
-            out: list[str] = []
-            for k, line in enumerate(word.split("\n")):
-                if k:
-                    if not out or not line or line[0].isspace() or out[-1] == "\n" or out[-1][-1:].isspace():
-                        return None
-                    out.append("\n")
-                if line:
-                    out.append(lead + line if not k else line)
-            return out
-        m = TAIL.fullmatch(word)
-        return [lead + m[1], m[2]] if m else None
-
-    def _learn(self, words: set[str], space: bool, known: dict[str, object]) -> None:
-        pending: list[tuple[str, list[str]]] = []
-        small: dict[str, object] = {}
+    @staticmethod
+    def _taken_over(words: set[str], older: dict[str, object], known: dict[str, object]) -> set[str]:
+        """The words that the older generation lacks; the others become known."""
+        new = set()
         for w in words:
-            parts = self._smaller(w, space) or [" " + w if space else w]
-            flat: list[str] = []
-            for p in parts:
-                q = None
-                if p not in ("\n", "") and not (len(parts) == 1):
-                    q = self._smaller(p[1:], True) if p[0] == " " else self._smaller(p, False)
-                flat += q or [p]
-            pending.append((w, flat))
-            for p in flat:
-                small[p] = None
-        todo = []
-        for p in small:
-            got = self.after.get(p[1:]) if p[:1] == " " else self.bare.get(p)
+            got = older.get(w)
             if got is None:
-                todo.append(p)
-            else:
-                small[p] = got
-        for p, r in zip(todo, self.library(todo), strict=True):
-            small[p] = r
-            if p[:1] == " ":
-                self.after[p[1:]] = r
+                new.add(w)
             else:
-                self.bare[p] = r
-        for w, flat in pending:
-            known[w] = small[flat[0]] if len(flat) == 1 else self.join(small[p] for p in flat)
+                known[w] = got
+        return new
 
     def encode(self, texts: list[str]) -> list:
         """One joined result for each text."""
         if not self.split:
-            return [self.join([x]) for x in self.library(texts)]
-        if len(self.after) + len(self.bare) > self.limit:
+            return self.library(texts)
+        if len(self.after) + len(self.bare) > self.limit // 2:
+            self.older = (self.after, self.bare)
             self.after, self.bare = {}, {}
         out: list = []
         at = 0
@@ -133,10 +125,11 @@ class WordCache:
             for x in lists:
                 rest.update(x[1:])
             rest = {w for w in rest if w not in self.after}
-            if first:
-                self._learn(first, False, self.bare)
-            if rest:
-                self._learn(rest, True, self.after)
+            first = self._taken_over(first, self.older[1], self.bare)
+            rest = self._taken_over(rest, self.older[0], self.after)
+            some = list(first)
+            self.bare.update(zip(some, self.library(some), strict=True))
+            self._learn(rest)
             after, bare = self.after, self.bare
             out += [self.join([bare[x[0]], *map(after.__getitem__, x[1:])]) for x in lists]
         return out
