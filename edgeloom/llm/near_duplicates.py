@@ -12,7 +12,9 @@ Texts that are equal form one class first and are represented by their
 smallest id. In each bucket of equal sketches every representative is held
 against the bucket's first and last one by a fixed random order, not against
 all others, so pairs grow with documents and not with the square of a bucket;
-over ``SKETCHES`` buckets a document meets many partners. A pair is accepted
+over ``SKETCHES`` buckets a document meets many partners. Pairs with a first one
+are aligned first; those with a last one only if they would join two
+components. A pair is accepted
 if the edit distance of the word sequences is at most ``1 - similarity`` of
 the longer one, found by bit-parallel alignment within the band that this
 distance allows. Components of accepted pairs are the classes.
@@ -209,24 +211,40 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, text
     bands = single.select("id", "n_words", place.alias("place"), F.explode("sketches").alias("bucket"))
     who = F.struct("place", "id", "n_words")
     ends = bands.groupBy("bucket").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter("first.id <> last.id")
-    met = bands.join(ends, "bucket").select("id", "n_words", F.explode(F.array("first", "last")).alias("other"))
+    met = bands.join(ends, "bucket").select(
+        "id", "n_words", F.inline(F.array(F.struct(F.col("first").alias("other"), F.lit(True).alias("early")), F.struct(F.col("last").alias("other"), F.lit(False).alias("early"))))
+    )
     close = (F.col("id") != F.col("other.id")) & (F.least("n_words", "other.n_words") >= similarity * F.greatest("n_words", "other.n_words") - 1e-9)
-    pairs = met.filter(close).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+    pairs = met.filter(close).groupBy(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).agg(F.max("early").alias("early"))
     pairs = cut(pairs, "candidates")
 
-    # words of the documents that are in a pair
+    # words of the documents that are in a pair; the same plan at every size
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = base.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"])
+    words = base.select("id", "text").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     words = cut(words.mapInArrow(_word_rows, f"id {kind}, words binary"), "words")
-    both = (
-        pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-        .join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    links = both.mapInArrow(_aligned(similarity), f"a {kind}, b {kind}")
-    classes = components(links)
-    named = member.join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    named = named.select("id", F.coalesce("label", "rep").alias("class_id"))
+
+    def linked(some: DataFrame) -> DataFrame:
+        both = (
+            some.select("a", "b")
+            .join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+            .join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+            .select("a", "b", "x", "y")
+        )
+        return both.mapInArrow(_aligned(similarity), f"a {kind}, b {kind}")
+
+    # pairs with a bucket's first; then those with its last that join different components
+    early = components(linked(pairs.filter("early")))
+    side = lambda c: early.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    late = pairs.filter("NOT early").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    late = late.withColumns({f"{c}_label": F.coalesce(f"{c}_label", c) for c in ("a", "b")}).filter("a_label <> b_label")
+    late = cut(late.select("a", "b", "a_label", "b_label"), "late-candidates")
+    more = late.join(linked(late), ["a", "b"]).select("a_label", "b_label")
+    merged = components(more, "a_label", "b_label").select(F.col("node").alias("label"), F.col("label").alias("merged"))
+
+    named = member.join(early.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    named = named.withColumn("label", F.coalesce("label", "rep")).join(merged, "label", "left")
+    named = named.withColumn("label", F.coalesce("merged", "label"))
+    named = named.select("id", F.col("label").alias("class_id"))
     return named.select(F.col("id").alias(key), "class_id", (F.col("id") == F.col("class_id")).alias("keep"))
 
 
