@@ -39,7 +39,9 @@ def terms(text: Column) -> Column:
 
 
 class Lexicon:
-    """Hashes of the band's terms as a table of buckets with four places each."""
+    """Hashes of the band's terms as a table of buckets with ``PLACES`` places each."""
+
+    PLACES = 8
 
     def __init__(self, hashes: list[int]) -> None:
         self.size = len(hashes)
@@ -48,10 +50,10 @@ class Lexicon:
             full = [[] for _ in range(self.buckets)]
             for h in hashes:
                 full[self._bucket(h)].append(self._value(h))
-            if max(map(len, full)) <= 4:
+            if max(map(len, full)) <= self.PLACES:
                 break
             self.buckets *= 2
-        self.table = ",".join(str(v) for b in full for v in (sorted(set(b)) + [0] * 4)[:4])
+        self.table = ",".join(str(v) for b in full for v in (sorted(set(b)) + [0] * self.PLACES)[: self.PLACES])
 
     def _bucket(self, h: int) -> int:
         return (h & (1 << 64) - 1) >> 40 & self.buckets - 1
@@ -64,11 +66,10 @@ class Lexicon:
     def has(self, h: Column) -> Column:
         """Whether a hash is in the table (by its place and low 32 bits)."""
         places = F.split(F.lit(self.table), ",").cast("array<int>")
-        at = (F.shiftrightunsigned(h, 40).bitwiseAND(self.buckets - 1) * 4).cast("int")
+        at = (F.shiftrightunsigned(h, 40).bitwiseAND(self.buckets - 1) * self.PLACES + 1).cast("int")
         low = h.bitwiseAND(0xFFFFFFFF)
         value = F.when(low == 0, F.lit(1)).when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
-        slots = [F.get(places, at + i) for i in range(4)]
-        return (slots[0] == value) | (slots[1] == value) | (slots[2] == value) | (slots[3] == value)
+        return F.array_contains(F.slice(places, at, self.PLACES), value)
 
 
 def fit_lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, text: str = "text") -> Lexicon:
