@@ -109,7 +109,9 @@ class Words:
     def windows(self, size: int) -> np.ndarray:
         """Hash of ``size`` words from each word on; wrong for the last ``size - 1`` of a text."""
         h, n = self.hash, len(self.hash)
-        out = np.zeros(max(0, n - size + 1), dtype=np.uint64)
+        if n < size:
+            return np.empty(0, dtype=np.uint64)
+        out = np.zeros(n - size + 1, dtype=np.uint64)
         for j in range(size):
             out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : n - size + 1 + j]
         return mix(out)

@@ -103,3 +103,15 @@ def test_words():
     w = Words(pa.array(["Ab,cd", "ef é1"]), 0, 2)
     assert [w.lower[a:b].tobytes().decode() for a, b in zip(w.start, w.stop)] == ["ab", "cd", "ef", "é1"]
     assert w.first.tolist() == [0, 2, 4]
+
+
+def test_slices_of_fewer_words_than_a_window(spark):
+    long = "q" * (1 << 20) + " end"  # a slice of its own
+    bench = spark.createDataFrame([(7, " ".join(f"q{i}" for i in range(20))), (8, "one two three four")], "item_id long, text string")
+    for n in range(13):
+        short = " ".join(["one", "two", "three", "four", *"abcdefghi"][:n])
+        docs = spark.createDataFrame([(1, long), (2, short)], "doc_id long, text string")
+        hit = (n, 4, ["8"]) if n >= 4 else (n, 0, [])
+        for some in (docs.filter("doc_id = 2"), docs.coalesce(1)):
+            got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(some, bench).collect()}
+            assert got.pop(2) == hit and got in ({}, {1: (2, 0, [])})
