@@ -9,18 +9,20 @@ the fewer edits lie between two texts, as both the k-mers and their order must
 survive.
 
 Texts that are equal form one class first and are represented by their
-smallest id. In each bucket of equal sketches every representative is held
-against the bucket's first and last one by a fixed random order, not against
-all others, so pairs grow with documents and not with the square of a bucket;
-over ``SKETCHES`` buckets a document meets many partners. Pairs with a first one
-are aligned first; those with a last one only if they would join two
-components. A pair is accepted
+smallest id. As a cheap start every representative in a bucket of equal sketches of two
+k-mers is held against the bucket's first and last one by a fixed random order.
+Then, wherever texts with an equal sketch still lie in several
+components, all pairs between different components are tried: first one for each
+two components, then what is left. So the classes hold all near pairs that share
+such a value, though not every pair is aligned. Pairs that can't be near by their numbers of words,
+or by the parities of their words' counts in ``8 * PARITIES`` bytes (an edit
+changes two at most), are left out before alignment. A pair is accepted
 if the edit distance of the word sequences is at most ``1 - similarity`` of
 the longer one, found by bit-parallel alignment within the band that this
 distance allows. Components of accepted pairs are the classes.
 
 With a share s of k-mers in common a pair shares a bucket with probability
-about ``1 - (1 - s^PICK)^SKETCHES``: above 0.99999 at s = 0.8, 0.9999 at 0.5.
+about ``1 - (1 - s^PICK)^SKETCHES``.
 
 Defined results: null texts are empty; texts without words are near only to
 equal texts; repeated rows are in one class; a class's id is its smallest
@@ -29,28 +31,30 @@ document id; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import Words, filled, mix, slices
-from edgeloom.llm.common import cut
+from edgeloom.llm.common import cut, remove
 from edgeloom.llm.components import components
 
 K = 5
 PICK = 2
 SKETCHES = 32
 SIMILARITY = 0.8
+PARITIES = 8
 _ORDERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
+def kmers(words: np.ndarray, size: int = K) -> np.ndarray:
     """Hashes of a text's k-mers with their occurrence numbers, in order."""
     n = len(words)
-    k = min(K, n)
+    k = min(size, n)
     if not n:
         return np.empty(0, np.uint64)
     out = np.zeros(n - k + 1, dtype=np.uint64)
@@ -68,12 +72,12 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(words: np.ndarray) -> np.ndarray | None:
+def sketches(words: np.ndarray, size: int = K, pick: int = PICK) -> np.ndarray | None:
     """One value for each random order; None without words."""
-    x = kmers(words)
+    x = kmers(words, size)
     if not len(x):
         return None
-    pick = min(PICK, len(x))
+    pick = min(pick, len(x))
     out = np.empty(SKETCHES, dtype=np.uint64)
     some = max(1, (1 << 20) // len(x))  # orders at a time, to bound the memory
     for at in range(0, SKETCHES, some):
@@ -93,6 +97,17 @@ def sketches(words: np.ndarray) -> np.ndarray | None:
     return mix(out)
 
 
+def buckets(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray | None:
+    """All values by which a text meets every other one of its bucket; None without words."""
+    return sketches(words)
+
+
+def parities(words: np.ndarray) -> list[int]:
+    """Whether the words of each of ``64 * PARITIES`` kinds are odd in number."""
+    kinds = (words & np.uint64(64 * PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(kinds, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
     """Edit distance if it is at most ``most``, else None.
 
@@ -146,19 +161,26 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
     return distance if distance <= most else None
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = filled(batch.column(3))
-        n_words: list[int] = []
-        made: list[list[int] | None] = []
-        for at, end in slices(texts):
-            w = Words(texts, at, end)
-            for k in range(end - at):
-                own = w.hash[w.first[k] : w.first[k + 1]]
-                s = sketches(own)
-                n_words.append(len(own))
-                made.append(None if s is None else s.astype(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["id", "h1", "h2", "n_words", "sketches"])
+def _sketch_rows(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = filled(batch.column(3))
+            n_words: list[int] = []
+            odd: list[list[int]] = []
+            made: list[list[int] | None] = []
+            keys: list[list[int] | None] = []
+            for at, end in slices(texts):
+                w = Words(texts, at, end)
+                for k in range(end - at):
+                    own = w.hash[w.first[k] : w.first[k + 1]]
+                    n_words.append(len(own))
+                    odd.append(parities(own))
+                    for to, values in ((made, sketches(own)), (keys, buckets(own, similarity))):
+                        to.append(None if values is None else values.view(np.int64).tolist())
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int32()), pa.array(odd, longs), pa.array(made, longs), pa.array(keys, longs)], ["id", "h1", "h2", "n_words", "odd", "sketches", "keys"])
+
+    return run
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +220,19 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, text
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     kind = base.schema["id"].dataType.simpleString()
-    rows = cut(base.mapInArrow(_sketch_rows, f"id {kind}, h1 long, h2 long, n_words int, sketches array<long>"), "sketches")
+    rows = cut(base.mapInArrow(_sketch_rows(similarity), f"id {kind}, h1 long, h2 long, n_words int, odd array<long>, sketches array<long>, keys array<long>"), "sketches")
 
     # equal texts: one representative
     equal = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     member = cut(rows.select("id", "h1", "h2").join(equal, ["h1", "h2"]).select("id", "rep"), "members")
     reps = equal.select(F.col("rep").alias("id"), "h1", "h2")
     single = rows.join(reps, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).filter("sketches IS NOT NULL")
+    single = cut(single.select("id", "n_words", "odd", "sketches", "keys"), "representatives")
+    remove(rows)
 
     # in each bucket, everyone against its first and last
-    place = F.xxhash64(F.lit("order"), "id")
-    bands = single.select("id", "n_words", place.alias("place"), F.explode("sketches").alias("bucket"))
-    who = F.struct("place", "id", "n_words")
+    bands = single.select("id", "n_words", F.explode("sketches").alias("bucket"))
+    who = F.struct(F.xxhash64(F.lit("order"), "id").alias("place"), "id", "n_words")
     ends = bands.groupBy("bucket").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter("first.id <> last.id")
     met = bands.join(ends, "bucket").select(
         "id", "n_words", F.inline(F.array(F.struct(F.col("first").alias("other"), F.lit(True).alias("early")), F.struct(F.col("last").alias("other"), F.lit(False).alias("early"))))
@@ -218,36 +241,69 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, text
     pairs = met.filter(close).groupBy(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).agg(F.max("early").alias("early"))
     pairs = cut(pairs, "candidates")
 
-    # words of the documents that are in a pair; the same plan at every size
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = base.select("id", "text").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    words = cut(words.mapInArrow(_word_rows, f"id {kind}, words binary"), "words")
-
-    def linked(some: DataFrame) -> DataFrame:
+    def words_of(some: DataFrame) -> DataFrame:
+        """Words of the documents that are in a pair; the same plan at every size."""
+        needed = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        words = base.select("id", "text").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+        return cut(words.mapInArrow(_word_rows, f"id {kind}, words binary"), "words")
+
+    def joined(labels: DataFrame, some: DataFrame, words: DataFrame) -> DataFrame:
+        """Labels (id, label) after the pairs that lie in different components are aligned."""
+        for c in ("a", "b"):
+            some = some.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c)
+        some = cut(some.filter("a_label <> b_label"), "apart")
         both = (
-            some.select("a", "b")
-            .join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+            some.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
             .join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-            .select("a", "b", "x", "y")
+            .select("a_label", "b_label", "x", "y")
         )
-        return both.mapInArrow(_aligned(similarity), f"a {kind}, b {kind}")
-
-    # pairs with a bucket's first; then those with its last that join different components
-    early = components(linked(pairs.filter("early")))
-    side = lambda c: early.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    late = pairs.filter("NOT early").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    late = late.withColumns({f"{c}_label": F.coalesce(f"{c}_label", c) for c in ("a", "b")}).filter("a_label <> b_label")
-    late = cut(late.select("a", "b", "a_label", "b_label"), "late-candidates")
-    more = late.join(linked(late), ["a", "b"]).select("a_label", "b_label")
-    merged = components(more, "a_label", "b_label").select(F.col("node").alias("label"), F.col("label").alias("merged"))
-
-    named = member.join(early.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    named = named.withColumn("label", F.coalesce("label", "rep")).join(merged, "label", "left")
-    named = named.withColumn("label", F.coalesce("merged", "label"))
-    named = named.select("id", F.col("label").alias("class_id"))
+        found = both.mapInArrow(_aligned(similarity), f"a_label {kind}, b_label {kind}")
+        merged = components(found, "a_label", "b_label").select(F.col("node").alias("label"), F.col("label").alias("merged"))
+        return cut(labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")), "labels")
+
+    # pairs with a bucket's first; then those with its last
+    labels = single.select("id", F.col("id").alias("label"))
+    words = words_of(pairs)
+    labels = joined(labels, pairs.filter("early").select("a", "b"), words)
+    labels = joined(labels, pairs.filter("NOT early").select("a", "b"), words)
+
+    # then all between different components of a bucket: one for each two components, and the rest
+    remove(words)
+    apart = cut(_between(single, labels, similarity), "between")
+    words = words_of(apart)
+    one = apart.groupBy("a_label", "b_label").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    labels = joined(labels, one, words)
+    labels = joined(labels, apart.select("a", "b"), words)
+
+    named = member.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    named = named.select("id", F.coalesce("label", "rep").alias("class_id"))
     return named.select(F.col("id").alias(key), "class_id", (F.col("id") == F.col("class_id")).alias("keep"))
 
 
+def _between(single: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b, a_label, b_label: pairs that share a key, lie in different components and may be near.
+
+    Texts meet by key and by number of words on a scale where those of near
+    texts are at most one step apart.
+    """
+    step = max(-math.log(similarity), 1e-3) * 1.001
+    own = single.join(labels, "id").withColumn("size", F.floor(F.log("n_words") / step))
+    whole = Window.partitionBy("bucket")
+    rows = own.select("id", "label", F.explode("keys").alias("bucket")).withColumns({"low": F.min("label").over(whole), "high": F.max("label").over(whole)})
+    rows = cut(rows.filter("low <> high").select("bucket", "id"), "mixed-buckets")
+    rows = rows.join(own.select("id", "label", "n_words", "size", *(F.col("odd")[i].alias(f"odd{i}") for i in range(PARITIES))), "id")
+    x = rows.select("bucket", "size", F.struct("id", "label", "n_words", *(f"odd{i}" for i in range(PARITIES))).alias("x"))
+    y = x.select("bucket", F.explode(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))).alias("s"), F.col("x").alias("y"))
+    y = y.select("bucket", "s.*", "y")
+    most = F.floor((1 - similarity) * F.greatest("x.n_words", "y.n_words") + 1e-9)
+    differ = sum((F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITIES)), F.lit(0))
+    close = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.id") < F.col("y.id"))) & (F.abs(F.col("x.n_words") - F.col("y.n_words")) <= most) & (differ <= 2 * most)
+    met = x.join(y.hint("merge"), ["bucket", "size"]).filter(close)
+    first = F.col("x.id") < F.col("y.id")
+    pick = lambda c, of, other: F.when(first, F.col(f"{of}.{c}")).otherwise(F.col(f"{other}.{c}"))
+    return met.select(pick("id", "x", "y").alias("a"), pick("id", "y", "x").alias("b"), pick("label", "x", "y").alias("a_label"), pick("label", "y", "x").alias("b_label")).distinct()
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is that of their class; of repeated ids one row."""
     classes = near_duplicate_classes(docs, similarity, text, key)

@@ -115,3 +115,26 @@ def test_slices_of_fewer_words_than_a_window(spark):
         for some in (docs.filter("doc_id = 2"), docs.coalesce(1)):
             got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(some, bench).collect()}
             assert got.pop(2) == hit and got in ({}, {1: (2, 0, [])})
+
+
+def test_a_source_and_its_edited_copies(spark):
+    """Copies of 0.88 likeness to a source; most are not near to each other."""
+    rng = random.Random(5)
+    source = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 1001):
+        words = list(source)
+        for j in rng.sample(range(200), 24):
+            words[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    # a template with two blanks of 30 words in 120: near only where one blank is equal
+    fill = {b: [f"{b}y{j}" for j in range(30)] for b in range(40)}
+    common = [f"t{i}" for i in range(70)]
+    for i in range(20):
+        for k in (0, 1):
+            text = common[:35] + fill[i] + common[35:] + [f"o{i}{k}y{j}" for j in range(5)]
+            rows.append((2000 + 2 * i + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs).collect()}
+    assert {got[i] for i in range(1001)} == {0}
+    assert all(got[i] == i // 2 * 2 for i in range(2000, 2040))
