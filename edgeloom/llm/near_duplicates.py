@@ -8,10 +8,16 @@ whose sketch is equal for some order are candidates. Such a match is likelier
 the fewer edits lie between two texts, as both the k-mers and their order must
 survive.
 
+Texts whose edits are spread out keep few such pairs of k-mers, so each text
+also has ``SKETCHES`` sketches of one k-mer of 4 words, and below ``FEW_WORDS``
+words as many of 3 words. Below about 20 words (:func:`short_limit`) a text has
+as keys all its sub-sequences of as many words as two texts in reach must have
+in common: two such texts that are near always meet.
+
 Texts that are equal form one class first and are represented by their
 smallest id. As a cheap start every representative in a bucket of equal sketches of two
 k-mers is held against the bucket's first and last one by a fixed random order.
-Then, wherever texts with an equal sketch still lie in several
+Then, wherever texts with an equal sketch of one k-mer or key still lie in several
 components, all pairs between different components are tried: first one for each
 two components, then what is left. So the classes hold all near pairs that share
 such a value, though not every pair is aligned. Pairs that can't be near by their numbers of words,
@@ -22,7 +28,8 @@ the longer one, found by bit-parallel alignment within the band that this
 distance allows. Components of accepted pairs are the classes.
 
 With a share s of k-mers in common a pair shares a bucket with probability
-about ``1 - (1 - s^PICK)^SKETCHES``.
+about ``1 - (1 - s^pick)^SKETCHES``; the recall by similarity and length is in
+the README.
 
 Defined results: null texts are empty; texts without words are near only to
 equal texts; repeated rows are in one class; a class's id is its smallest
@@ -33,6 +40,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +56,10 @@ K = 5
 PICK = 2
 SKETCHES = 32
 SIMILARITY = 0.8
+MORE_K = 4  # of the sketches of one k-mer
+FEW_K = 3
+FEW_WORDS = 60
+MOST_KEYS = 2000  # of a short text
 PARITIES = 8
 _ORDERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -97,9 +110,48 @@ def sketches(words: np.ndarray, size: int = K, pick: int = PICK) -> np.ndarray |
     return mix(out)
 
 
+def _in_common(n: int, limit: int, similarity: float) -> list[int]:
+    """For texts of ``n`` to ``limit`` words: how many words one must share, in order, with a text of ``n`` that is near."""
+    longer = range(n, min(limit, int(n / similarity + 1e-9)) + 1)
+    return sorted({m - int((1 - similarity) * m + 1e-9) for m in longer})
+
+
+@cache
+def short_limit(similarity: float) -> int:
+    """Most words of a text whose sub-sequences are keys: up to there none has more than ``MOST_KEYS``."""
+    n = 0
+    while n < 64 and sum(math.comb(n + 1, t) for t in _in_common(n + 1, n + 1 + n, similarity)) <= MOST_KEYS:
+        n += 1
+    return n
+
+
+@cache
+def _choices(n: int, t: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), t)), dtype=np.int64).reshape(-1, t)
+
+
+def short_keys(words: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of the sub-sequences that a near text of no more than ``short_limit`` words shares one of."""
+    made = []
+    for t in _in_common(len(words), short_limit(similarity), similarity):
+        chosen = words[_choices(len(words), t)]
+        out = np.full(len(chosen), t, dtype=np.uint64)
+        for j in range(t):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + chosen[:, j]
+        made.append(mix(out))
+    return np.unique(np.concatenate(made))
+
+
 def buckets(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray | None:
     """All values by which a text meets every other one of its bucket; None without words."""
-    return sketches(words)
+    if not len(words):
+        return None
+    made = [sketches(words, MORE_K, 1)]
+    if len(words) < FEW_WORDS:
+        made.append(sketches(words, FEW_K, 1))
+    if len(words) <= short_limit(similarity):
+        made.append(short_keys(words, similarity))
+    return np.unique(np.concatenate(made))
 
 
 def parities(words: np.ndarray) -> list[int]:

@@ -138,3 +138,22 @@ def test_a_source_and_its_edited_copies(spark):
     got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs).collect()}
     assert {got[i] for i in range(1001)} == {0}
     assert all(got[i] == i // 2 * 2 for i in range(2000, 2040))
+
+
+@pytest.mark.parametrize("n", range(5, 20))
+def test_short_texts_that_are_near_always_meet(n):
+    rng = random.Random(n)
+    for _ in range(100):
+        a = [rng.randrange(1 << 32) for _ in range(n)]
+        b, most = list(a), n // 5
+        for _ in range(most):
+            kind, at = rng.randrange(3), rng.randrange(len(b))
+            if kind == 0:
+                b[at] = rng.randrange(1 << 32)
+            elif kind == 1 or len(b) == N.short_limit(0.8):
+                del b[at]
+            else:
+                b.insert(at, rng.randrange(1 << 32))
+        if distance(a, b) <= max(len(a), len(b)) // 5:
+            x, y = (N.buckets(N.np.array(t, "uint64")) for t in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
