@@ -13,6 +13,9 @@ from edgeloom.operators import truss as K
 from edgeloom.plans import summary as S
 from edgeloom.sources.derived import graph, graph_sql
 
+#: The graph of all rows of lineitem; the plain names are on the rows with l_returnflag = 'R'.
+WHOLE = "part_order"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,70 +23,73 @@ def _on(f: Callable[[DataFrame], DataFrame], name: str = "g_part_r") -> Query:
     return lambda spark, sf_dir: f(graph(spark, sf_dir, name))
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _probe(edges: DataFrame) -> DataFrame:
     """Every edge's ends in reverse, and each pair one further on."""
-    edges = graph(spark, sf_dir)
     pairs = edges.select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("u").alias("b")), F.struct(F.col("u").alias("a"), (F.col("v") + 1).alias("b"))))).distinct()
     return M.edge_probe(edges, pairs)
 
 
-def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranges(edges: DataFrame) -> DataFrame:
     """A range for each vertex: from its id, as many values as its degree less 9 (none if negative)."""
-    return M.multi_arange(M.degrees(graph(spark, sf_dir)).select(F.col("v").alias("i"), F.col("v").alias("start"), (F.col("deg") - 9).alias("n")))
+    return M.multi_arange(M.degrees(edges).select(F.col("v").alias("i"), F.col("v").alias("start"), (F.col("deg") - 9).alias("n")))
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = K.peel(graph(spark, sf_dir))
-    return spark.createDataFrame(rows, "round long, k long, alive long, peeled long")
+def _history(edges: DataFrame) -> DataFrame:
+    _, rows = K.peel(edges)
+    return edges.sparkSession.createDataFrame(rows, "round long, k long, alive long, peeled long")
 
 
-def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = K.peel(graph(spark, sf_dir))
-    return spark.createDataFrame([K.round_counts(rows)], "rounds_peel long, rounds_arr long")
+def _rounds(edges: DataFrame) -> DataFrame:
+    _, rows = K.peel(edges)
+    return edges.sparkSession.createDataFrame([K.round_counts(rows)], "rounds_peel long, rounds_arr long")
 
 
-def queries() -> dict[str, Query]:
+def _each(name: str) -> dict[str, Query]:
+    """The queries on one graph."""
     return {
-        "edges_canonical": _on(lambda e: e),
-        "arcs_symmetric": _on(M.arcs),
-        "degrees": _on(M.degrees),
-        "csr_offsets": _on(M.csr_offsets),
-        "out_degree": _on(M.out_degree),
-        "edge_ids": _on(M.edge_ids),
-        "cantor_codes": _on(M.pair_codes),
-        "edge_probe": _probe,
-        "search_keys": _on(M.search_keys),
-        "multi_arange": _ranges,
-        "wedge_counts": _on(T.wedge_counts),
-        "triangles": _on(T.triangles),
-        "triangles_unordered": _on(T.triangles_unordered),
-        "triangle_count": _on(T.triangle_count),
-        "support": _on(T.support),
-        "arc_support": _on(T.arc_support),
-        "incidence_runs": _on(T.incidence_runs),
-        "prune_low_degree": _on(lambda e: K.prune_low_degree(e, 4)),
-        "peel_history": _history,
-        "trussness": _on(lambda e: K.truss(e, "peel")),
-        "ktruss_subgraph": _on(lambda e: K.ktruss_subgraph(e, 2)),
-        "multik_alive": _on(lambda e: K.multi_k_alive(e, 8)),
-        "trussness_hindex": _on(lambda e: K.truss(e, "hindex")),
-        "trussness_multik": _on(lambda e: K.truss(e, "multi_k")),
-        "trussness_wedge": _on(lambda e: K.truss(e, "wedge")),
-        "truss_histogram": _on(lambda e: S.histogram(K.truss(e))),
-        "innermost_truss": _on(lambda e: S.innermost(K.truss(e))),
-        "summary": _on(S.summary),
-        "dataset_row": _on(S.dataset_row),
-        "balanced_cuts": _on(lambda e: T.balanced_cuts(e, 8)),
-        "missing_edges": _on(T.missing_edges),
-        "check_truss": _on(S.check_truss),
-        "check_triangles": _on(S.check_triangles),
-        "check_summary": _on(S.check_summary),
-        "round_count": _rounds,
-        "trussness_orders": _on(K.truss, "g_cust_day"),
-        "trussness_users": _on(K.truss, "user_hour"),
+        "edges_canonical": _on(lambda e: e, name),
+        "arcs_symmetric": _on(M.arcs, name),
+        "degrees": _on(M.degrees, name),
+        "csr_offsets": _on(M.csr_offsets, name),
+        "out_degree": _on(M.out_degree, name),
+        "edge_ids": _on(M.edge_ids, name),
+        "cantor_codes": _on(M.pair_codes, name),
+        "edge_probe": _on(_probe, name),
+        "search_keys": _on(M.search_keys, name),
+        "multi_arange": _on(_ranges, name),
+        "wedge_counts": _on(T.wedge_counts, name),
+        "triangles": _on(T.triangles, name),
+        "triangles_unordered": _on(T.triangles_unordered, name),
+        "triangle_count": _on(T.triangle_count, name),
+        "support": _on(T.support, name),
+        "arc_support": _on(T.arc_support, name),
+        "incidence_runs": _on(T.incidence_runs, name),
+        "prune_low_degree": _on(lambda e: K.prune_low_degree(e, 4), name),
+        "peel_history": _on(_history, name),
+        "trussness": _on(lambda e: K.truss(e, "peel"), name),
+        "ktruss_subgraph": _on(lambda e: K.ktruss_subgraph(e, 2), name),
+        "multik_alive": _on(lambda e: K.multi_k_alive(e, 8), name),
+        "trussness_hindex": _on(lambda e: K.truss(e, "hindex"), name),
+        "trussness_multik": _on(lambda e: K.truss(e, "multi_k"), name),
+        "trussness_wedge": _on(lambda e: K.truss(e, "wedge"), name),
+        "truss_histogram": _on(lambda e: S.histogram(K.truss(e)), name),
+        "innermost_truss": _on(lambda e: S.innermost(K.truss(e)), name),
+        "summary": _on(S.summary, name),
+        "dataset_row": _on(S.dataset_row, name),
+        "balanced_cuts": _on(lambda e: T.balanced_cuts(e, 8), name),
+        "missing_edges": _on(T.missing_edges, name),
+        "check_truss": _on(S.check_truss, name),
+        "check_triangles": _on(S.check_triangles, name),
+        "check_summary": _on(S.check_summary, name),
+        "round_count": _on(_rounds, name),
     }
 
 
+def queries() -> dict[str, Query]:
+    found = _each("g_part_r") | {f"{q}_{WHOLE}": f for q, f in _each(WHOLE).items()}
+    return found | {"trussness_orders": _on(K.truss, "g_cust_day"), "trussness_users": _on(K.truss, "user_hour")}
+
+
 def _edges(name: str = "g_part_r") -> str:
     return f"WITH RECURSIVE e AS MATERIALIZED ({graph_sql(name)})"
 
@@ -108,7 +114,14 @@ def _truss(name: str = "g_part_r") -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    e, t = _edges(), _truss()
+    found = _each_sql("g_part_r")
+    found |= {"trussness_orders": _truss("g_cust_day") + "SELECT u, v, k FROM truss", "trussness_users": _truss("user_hour") + "SELECT u, v, k FROM truss"}
+    # the whole graph takes too many rounds for recursive SQL
+    return found | {f"{q}_{WHOLE}": sql for q, sql in _each_sql(WHOLE).items() if " rec(" not in sql}
+
+
+def _each_sql(name: str) -> dict[str, str]:
+    e, t = _edges(name), _truss(name)
     a = e + ", arcs AS (SELECT u AS src, v AS dst FROM e UNION ALL SELECT v, u FROM e), deg AS (SELECT src AS v, count(*) AS deg FROM arcs GROUP BY src)"
     tri = e + ", t AS (SELECT a.u, a.v, b.v AS w FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v)"
     sides = tri + ", s AS (SELECT u, v, count(*) c FROM (SELECT u, v FROM t UNION ALL SELECT u, w FROM t UNION ALL SELECT v, w FROM t) GROUP BY u, v), sup AS (SELECT e.u, e.v, coalesce(c, 0) AS sup FROM e LEFT JOIN s USING (u, v))"
@@ -163,6 +176,4 @@ def oracle_sql() -> dict[str, str]:
         "check_triangles": none,
         "check_summary": none,
         "round_count": t + "SELECT CAST(count(*) AS BIGINT) AS rounds_peel, CAST(CASE WHEN max(k) = 0 THEN 0 ELSE count(*) FILTER (WHERE peeled > 0 AND k > 0) + max(k) END AS BIGINT) AS rounds_arr FROM rounds",
-        "trussness_orders": _truss("g_cust_day") + "SELECT u, v, k FROM truss",
-        "trussness_users": _truss("user_hour") + "SELECT u, v, k FROM truss",
     }

@@ -116,3 +116,24 @@ def test_wide_codes(spark):
     big = frame(spark, [(4_000_000_000, 3_999_999_999)])
     s = 7_999_999_999
     assert int(M.pair_codes(big, wide=True).first().code) == s * (s + 1) // 2 + 4_000_000_000
+
+
+def test_whole_graph_against_plain_peel(spark):
+    """All rows of lineitem, not those of one l_returnflag; counts as in FIXTURES.md."""
+    from edgeloom.plans.queries import oracle_sql, queries
+
+    directory = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{directory}/lineitem.parquet'")
+    pairs = con.execute("select distinct a.l_partkey, b.l_partkey from lineitem a join lineitem b using (l_orderkey) where a.l_partkey < b.l_partkey").fetchall()
+    want = plain_peel(pairs)
+    assert len(want) == 8_899 and max(want.values()) == 26
+    assert values(queries()["trussness_hindex_part_order"](spark, directory)) == want
+    assert queries()["triangle_count_part_order"](spark, directory).first().n == 125_968
+    for name in ("degrees_part_order", "support_part_order", "edge_probe_part_order"):
+        sql = oracle_sql()[name]
+        columns = [d[0] for d in con.execute(sql).description]
+        got = sorted(tuple(r) for r in queries()[name](spark, directory).select(columns).collect())
+        assert got == sorted(con.execute(sql).fetchall()), name
+    plain = {n for n in queries() if not n.endswith(("_part_order", "_orders", "_users"))}
+    assert {f"{n}_part_order" for n in plain} <= set(queries())
