@@ -129,13 +129,20 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None, text: str = "t
     return with_fingerprint(rows, lexicon or fit_lexicon(rows), "text", "fingerprint").select(key, "fingerprint")
 
 
+def _same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` and ``b`` joined by id, which may be null, and text hash."""
+    other = b.withColumnsRenamed({"id": "other_id", "h": "other_h"})
+    return a.join(other, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h"))).drop("other_id", "other_h")
+
+
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """How fingerprints stand an edit: in each text the last quarter is replaced
     by the beginning of the next document's (ascending ``key``, then text hash).
 
     Only keys, lengths and fingerprints are put in order; texts are dealt out
     once by their key, and the beginnings once more. Rows equal in key and
-    text count as one document in the order.
+    text count as one document in the order; null keys are equal and a key of
+    their own.
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lexicon = fit_lexicon(base)
@@ -146,16 +153,16 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     n = own.count()
     if n:
         before = order.select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"), F.pmod(F.col("rank") + 1, F.lit(n)).alias("rank"))
-        links = order.join(before, "rank").join(own.select("id", "h", "fingerprint"), ["id", "h"])
+        links = _same(order.join(before, "rank"), own.select("id", "h", "fingerprint"))
     else:
         links = own.selectExpr("id", "h", "fingerprint", "id AS to_id", "h AS to_h", "0 AS take")
     links = cut(links.select("id", "h", "to_id", "to_h", "take", F.col("fingerprint").alias("next_fingerprint")), "fingerprint-links")
     heads = (
-        base.join(links, ["id", "h"])
+        _same(base, links)
         .groupBy(F.col("to_id").alias("id"), F.col("to_h").alias("h"))
         .agg(F.max(F.substr("text", F.lit(1), F.col("take"))).alias("head"), F.max("next_fingerprint").alias("next_fingerprint"))
     )
-    rows = base.join(own, ["id", "h"]).join(heads, ["id", "h"])
+    rows = _same(_same(base, own), heads)
     kept = (F.col("n") - F.floor(F.col("n") / 4)).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), kept), "head"))
     rows = with_fingerprint(rows, lexicon, "edited", "edited_fingerprint")

@@ -157,3 +157,10 @@ def test_short_texts_that_are_near_always_meet(n):
         if distance(a, b) <= max(len(a), len(b)) // 5:
             x, y = (N.buckets(N.np.array(t, "uint64")) for t in (a, b))
             assert set(x.tolist()) & set(y.tolist())
+
+
+def test_fingerprints_of_null_keys(spark):
+    rows = [(None, "no key one two"), (None, "no key three four"), (None, "no key one two"), (1, "with key five"), (2, "with key six")]
+    out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in out) == sorted((i or 0, len(t)) for i, t in rows)
+    assert all(r.edited_sha256 and r.fingerprint is not None for r in out)
