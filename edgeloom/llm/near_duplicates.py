@@ -1,39 +1,40 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its words (:mod:`edgeloom.llm.bytewords`); a k-mer is ``K`` words in
-a row together with how many times it occurred before in the text (texts with
-fewer words have one k-mer of all). For each of ``SKETCHES`` random orders the
-``PICK`` smallest k-mers are taken and kept in the order of the text; texts
-whose sketch is equal for some order are candidates. Such a match is likelier
-the fewer edits lie between two texts, as both the k-mers and their order must
-survive.
-
-Texts whose edits are spread out keep few such pairs of k-mers, so each text
-also has ``SKETCHES`` sketches of one k-mer of 4 words, and below ``FEW_WORDS``
-words as many of 3 words. Below about 20 words (:func:`short_limit`) a text has
-as keys all its sub-sequences of as many words as two texts in reach must have
-in common: two such texts that are near always meet.
-
-Texts that are equal form one class first and are represented by their
-smallest id. As a cheap start every representative in a bucket of equal sketches of two
-k-mers is held against the bucket's first and last one by a fixed random order.
-Then, wherever texts with an equal sketch of one k-mer or key still lie in several
-components, all pairs between different components are tried: first one for each
-two components, then what is left. So the classes hold all near pairs that share
-such a value, though not every pair is aligned. Pairs that can't be near by their numbers of words,
-or by the parities of their words' counts in ``8 * PARITIES`` bytes (an edit
-changes two at most), are left out before alignment. A pair is accepted
-if the edit distance of the word sequences is at most ``1 - similarity`` of
-the longer one, found by bit-parallel alignment within the band that this
-distance allows. Components of accepted pairs are the classes.
-
-With a share s of k-mers in common a pair shares a bucket with probability
-about ``1 - (1 - s^pick)^SKETCHES``; the recall by similarity and length is in
-the README.
+A text is its words (:mod:`edgeloom.llm.bytewords`). A k-mer is k words in a row
+together with how many times it occurred before in the text. A sketch samples,
+for one of ``SKETCHES`` random orders, the smallest k-mer of ``K`` words and the
+smallest ``PICK`` of one word, and keeps them in the order of the text: the long
+k-mer makes a match rare between texts that have little in common, the short ones
+survive scattered edits. Texts with an equal sketch are candidates. Texts of less
+than ``FEW_WORDS`` words also have ``FEW_SKETCHES`` sketches of a k-mer of
+``FEW_K`` words and one of one word, and up to about 20 words (:func:`short_limit`)
+all sub-sequences of as many words as two texts in reach must have in common: two
+such texts that are near always meet.
+
+Equal texts form one class first. In each bucket of equal sketches every text is
+then held against the bucket's pivot, the text that meets most others in all of its
+buckets, which for edited copies is what they are copies of. After that all pairs
+that still lie in different components of a bucket are tried: the classes hold
+every near pair that shares a sketch, though not every pair is aligned. Pairs that can't be near by
+their numbers of words, by the parities of their words' counts in ``64 *
+PARITIES`` kinds (an edit changes two at most), or by two bits of each of the one-word minima
+(:func:`most_differ`; a near pair has more that differ in 1 of 500,000 cases) are left
+out before alignment, inside the join, so the join gives few rows even in a
+bucket of a very common passage. A pair is accepted if the edit distance of the
+word sequences is at most ``1 - similarity`` of the longer one, found by
+bit-parallel alignment within the band that this distance allows. Components of
+accepted pairs are the classes.
+
+Texts are known by a number of their own and joined by it or by their hash and id, never by
+the id alone. Joins on a hot value (equal texts, a crowded bucket, a large component) are between
+written tables, so adaptive execution splits them.
+
+Recall by similarity and length is in the README.
 
 Defined results: null texts are empty; texts without words are near only to
-equal texts; repeated rows are in one class; a class's id is its smallest
-document id; an empty table gives an empty result; other columns are ignored.
+equal texts; repeated rows are in one class, of which one row is kept; an id that stands for
+several texts has a row for each; a class's id is its smallest
+document id that is not null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import Words, filled, mix, slices
@@ -54,59 +55,95 @@ from edgeloom.llm.components import components
 
 K = 5
 PICK = 2
-SKETCHES = 32
+SKETCHES = 64
 SIMILARITY = 0.8
-MORE_K = 4  # of the sketches of one k-mer
 FEW_K = 3
-FEW_WORDS = 60
+FEW_SKETCHES = 32
+FEW_WORDS = 75
 MOST_KEYS = 2000  # of a short text
 PARITIES = 8
-_ORDERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def kmers(words: np.ndarray, size: int = K) -> np.ndarray:
-    """Hashes of a text's k-mers with their occurrence numbers, in order."""
-    n = len(words)
-    k = min(size, n)
-    if not n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n - k + 1, dtype=np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + words[j : n - k + 1 + j]
-    out = mix(out)
-    order = np.argsort(out, kind="stable")
-    first = np.ones(len(out), bool)
-    first[1:] = out[order][1:] != out[order][:-1]
-    if not first.all():
-        place = np.arange(len(out))
-        label = np.empty(len(out), np.uint64)
-        label[order] = place - np.maximum.accumulate(np.where(first, place, 0))
-        out = mix(out + label * np.uint64(0xA0761D6478BD642F))
-    return out
-
-
-def sketches(words: np.ndarray, size: int = K, pick: int = PICK) -> np.ndarray | None:
-    """One value for each random order; None without words."""
-    x = kmers(words, size)
+class Orders:
+    """Random orders of 32-bit values: the smallest of ``(x ^ shift) * factor``."""
+
+    def __init__(self, n: int, seed: int) -> None:
+        x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) + np.uint64(seed << 32))
+        self.shift, self.factor = x[:n].astype(np.uint32), x[n:].astype(np.uint32) | np.uint32(1)
+        self.back = np.array([pow(int(f), -1, 1 << 32) for f in self.factor], dtype=np.uint32)
+
+    def smallest(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each run of ``x`` the value that comes first in each order."""
+        out = np.empty((len(self.shift), len(starts)), dtype=np.uint32)
+        if not len(starts):
+            return out.T
+        for i, (s, f) in enumerate(zip(self.shift, self.factor, strict=True)):
+            out[i] = np.minimum.reduceat((x ^ s) * f, starts)
+        return ((out * self.back[:, None]) ^ self.shift[:, None]).T
+
+
+_LONG, _FEW, _ONE = Orders(SKETCHES, 1), Orders(FEW_SKETCHES, 2), Orders(SKETCHES * PICK, 3)
+
+
+def labelled(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes with their occurrence numbers within the owner mixed in."""
     if not len(x):
-        return None
-    pick = min(pick, len(x))
-    out = np.empty(SKETCHES, dtype=np.uint64)
-    some = max(1, (1 << 20) // len(x))  # orders at a time, to bound the memory
-    for at in range(0, SKETCHES, some):
-        order = _ORDERS[at : at + some, None]
-        ranks = (x ^ order) * order
-        ranks ^= ranks >> np.uint64(29)
-        ranks *= np.uint64(0xBF58476D1CE4E5B9)
-        chosen = np.empty((len(order), pick), dtype=np.int64)
-        for p in range(pick):
-            chosen[:, p] = ranks.argmin(1)
-            ranks[np.arange(len(order)), chosen[:, p]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        chosen.sort(1)  # back to the order of the text
-        value = np.arange(at, at + len(order), dtype=np.uint64)
-        for p in range(pick):
-            value = value * np.uint64(0xD6E8FEB86659FD93) + x[chosen[:, p]]
-        out[at : at + len(order)] = value
+        return x
+    whole = mix(x + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low = np.uint64((1 << max(1, (len(x) - 1).bit_length())) - 1)
+    place = (np.sort((whole & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    first = np.ones(len(x), bool)
+    first[1:] = whole[place[1:]] != whole[place[:-1]]
+    at = np.arange(len(x))
+    label = np.empty(len(x), np.uint64)
+    label[place] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return mix(x + label * np.uint64(0xA0761D6478BD642F))
+
+
+def kmers(words: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled hashes of all k-mers that lie within one owner, and the places of their first words."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = out * _BASE + words[j : n + j]
+    at = np.flatnonzero(owner[:n] == owner[k - 1 :])
+    return labelled(mix(out[at]), owner[at]), at
+
+
+class Minima:
+    """The smallest k-mers of each text for some orders, and where they stand."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray, k: int, orders: Orders) -> None:
+        x, at = kmers(words, owner, k)
+        own = owner[at]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+        self.texts = own[starts]  # those with such a k-mer
+        high = (x >> np.uint64(32)).astype(np.uint32)
+        self.value = orders.smallest(high, starts)
+        table = own.astype(np.uint64) << np.uint64(32) | high
+        order = np.argsort(table)
+        found = np.searchsorted(table[order], self.texts.astype(np.uint64)[:, None] << np.uint64(32) | self.value)
+        self.place = at[order[found]] if len(at) else found
+
+    def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.searchsorted(self.texts, texts)
+        return self.value[rows].astype(np.uint64), self.place[rows]
+
+
+def sketches(long: Minima, one: Minima, pick: int, n: int) -> np.ndarray:
+    """``n`` values for each of ``long.texts``."""
+    value, place = long.value.astype(np.uint64), long.place
+    ones, places = one.of(long.texts)
+    out = np.arange(n, dtype=np.uint64) * _BASE + value
+    chosen = [place]
+    for p in range(pick):
+        out = out * _BASE + ones[:, p * n : (p + 1) * n]
+        chosen.append(places[:, p * n : (p + 1) * n])
+    for a, b in combinations(range(pick + 1), 2):  # the order of the text
+        out = out * np.uint64(2) + (chosen[a] <= chosen[b])
     return mix(out)
 
 
@@ -137,27 +174,63 @@ def short_keys(words: np.ndarray, similarity: float) -> np.ndarray:
         chosen = words[_choices(len(words), t)]
         out = np.full(len(chosen), t, dtype=np.uint64)
         for j in range(t):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + chosen[:, j]
+            out = out * _BASE + chosen[:, j]
         made.append(mix(out))
     return np.unique(np.concatenate(made))
 
 
-def buckets(words: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray | None:
-    """All values by which a text meets every other one of its bucket; None without words."""
-    if not len(words):
-        return None
-    made = [sketches(words, MORE_K, 1)]
-    if len(words) < FEW_WORDS:
-        made.append(sketches(words, FEW_K, 1))
-    if len(words) <= short_limit(similarity):
-        made.append(short_keys(words, similarity))
-    return np.unique(np.concatenate(made))
-
-
-def parities(words: np.ndarray) -> list[int]:
-    """Whether the words of each of ``64 * PARITIES`` kinds are odd in number."""
-    kinds = (words & np.uint64(64 * PARITIES - 1)).astype(np.int64)
-    return np.packbits((np.bincount(kinds, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist()
+class Sketched:
+    """Of some texts: number of words, keys (the values by which they meet) and signature."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, similarity: float = SIMILARITY) -> None:
+        self.n_words = np.diff(first)
+        n = len(self.n_words)
+        owner = np.repeat(np.arange(n), self.n_words)
+        one = Minima(words, owner, 1, _ONE)
+        long = Minima(words, owner, K, _LONG)
+        self.keys: list[np.ndarray] = [np.empty(0, np.uint64)] * n
+        for t, row in zip(long.texts.tolist(), sketches(long, one, PICK, SKETCHES), strict=True):
+            self.keys[t] = row
+        few = np.flatnonzero(self.n_words < FEW_WORDS)
+        if len(few):
+            chosen = np.flatnonzero(self.n_words[owner] < FEW_WORDS)
+            small = Minima(words[chosen], owner[chosen], FEW_K, _FEW)
+            small.place = chosen[small.place] if len(chosen) else small.place
+            for t, row in zip(small.texts.tolist(), sketches(small, one, 1, FEW_SKETCHES), strict=True):
+                self.keys[t] = np.concatenate([self.keys[t], row])
+        for t in few.tolist():
+            if 0 < self.n_words[t] <= short_limit(similarity):
+                self.keys[t] = np.concatenate([self.keys[t], short_keys(words[first[t] : first[t + 1]], similarity)])
+        kinds = 64 * PARITIES
+        odd = np.bincount(owner * kinds + (words & np.uint64(kinds - 1)).astype(np.int64), minlength=n * kinds) & 1
+        bits = (mix(one.value.astype(np.uint64)) & np.uint64(3)).astype(np.uint8)
+        planes = np.zeros((n, 2 * one.value.shape[1]), np.uint8)
+        planes[one.texts] = np.hstack([bits & 1, bits >> 1])
+        whole = np.hstack([odd.astype(np.uint8).reshape(n, kinds), planes])
+        #: Parities, then the lower and the upper bits of the one-word minima, 64 to a number.
+        self.signature = np.packbits(whole, axis=1).reshape(n, -1, 8).view("<i8").reshape(n, -1) if n else np.empty((0, PARITIES + 4), np.int64)
+
+
+def may_be_near(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts (structs with n_words and signature) pass the tests before alignment."""
+    n, m, x, y = F.col(f"{a}.n_words"), F.col(f"{b}.n_words"), F.col(f"{a}.signature"), F.col(f"{b}.signature")
+    most = F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
+    odd = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITIES)), F.lit(0))
+    planes = SKETCHES * PICK // 64
+    low, high = range(PARITIES, PARITIES + planes), range(PARITIES + planes, PARITIES + 2 * planes)
+    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseOR(x[j].bitwiseXOR(y[j]))) for i, j in zip(low, high, strict=True)), F.lit(0))
+    share = similarity / (2 - similarity)  # of two near texts' labelled words at least these are in both
+    return (F.abs(n - m) <= most) & (odd <= 2 * most) & (differ <= most_differ(share))
+
+
+def most_differ(share: float) -> int:
+    """Minima of which two bits differ in a pair with this share of its words in common, in all but 1 of 500,000 cases."""
+    n, p = SKETCHES * PICK, 0.75 * (1 - share)
+    rest, k = 1.0, -1
+    while rest > 2e-6 and k < n:
+        k += 1
+        rest -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
@@ -168,8 +241,12 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int | None:
     Cells outside count as one worse than their neighbours in the band, so no
     value is too small and any within ``most`` is exact.
     """
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    tail = 0
+    for x, y in zip(reversed(a), reversed(b)):
+        if x != y:
+            break
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     lead = 0
     for x, y in zip(a, b):
         if x != y:
@@ -217,24 +294,21 @@ def _sketch_rows(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(3))
-            n_words: list[int] = []
-            odd: list[list[int]] = []
-            made: list[list[int] | None] = []
-            keys: list[list[int] | None] = []
             for at, end in slices(texts):
                 w = Words(texts, at, end)
-                for k in range(end - at):
-                    own = w.hash[w.first[k] : w.first[k + 1]]
-                    n_words.append(len(own))
-                    odd.append(parities(own))
-                    for to, values in ((made, sketches(own)), (keys, buckets(own, similarity))):
-                        to.append(None if values is None else values.view(np.int64).tolist())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int32()), pa.array(odd, longs), pa.array(made, longs), pa.array(keys, longs)], ["id", "h1", "h2", "n_words", "odd", "sketches", "keys"])
+                s = Sketched(w.hash, w.first, similarity)
+                kept = [x[at:end] if len(x) != end - at else x for x in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s.n_words, pa.int32()), _lists(list(s.signature)), _lists(s.keys)], ["id", "h1", "h2", "n_words", "signature", "keys"])
 
     return run
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    values = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = filled(batch.column(1))
@@ -243,15 +317,15 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(texts, at, end)
             low = w.hash.astype("<u4")
             out += [low[w.first[k] : w.first[k + 1]].tobytes() for k in range(end - at)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["t", "words"])
 
 
 def _aligned(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
                 keep.append(_bag_distance(a, b) <= most and banded_distance(a.tolist(), b.tolist(), most) is not None)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -261,103 +335,131 @@ def _aligned(similarity: float):
 
 def _bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Words of the longer text that find no partner wherever it stands: at most the edit distance."""
-    values, counts = np.unique(a, return_counts=True)
-    others, more = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
-    return max(len(a), len(b)) - int(np.minimum(counts[i], more[j]).sum())
+    both = np.sort(np.concatenate([a.astype(np.uint64) << np.uint64(1), b.astype(np.uint64) << np.uint64(1) | np.uint64(1)]))
+    word = both >> np.uint64(1)
+    edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
+    ours = np.add.reduceat((both & np.uint64(1)).astype(np.int64), edge) if len(edge) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[edge, len(word)])
+    return max(len(a), len(b)) - int(np.minimum(ours, sizes - ours).sum())
+
+
+class _Found:
+    """Written tables: ``rows`` (r, t, id, h1, h2, rep_id) of every row, t the number of its text;
+    ``named`` (t, class_id, class_t) of the texts that are near others; ``links`` (a, b) of the aligned pairs."""
+
+    def __init__(self, docs: DataFrame, similarity: float, text: str, key: str) -> None:
+        base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        base = base.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+        kind = base.schema["id"].dataType.simpleString()
+        made = base.mapInArrow(_sketch_rows(similarity), f"id {kind}, h1 long, h2 long, n_words int, signature array<long>, keys array<long>")
+        made = cut(made.withColumn("r", F.monotonically_increasing_id()), "sketches")
+
+        # equal texts: one representative, the row of the smallest id
+        smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m")
+        equal = cut(made.groupBy("h1", "h2").agg(smallest).select("h1", "h2", F.col("m.r").alias("t"), F.col("m.id").alias("rep_id")), "equal-texts")
+        self.rows = cut(made.select("r", "id", "h1", "h2").join(equal, ["h1", "h2"]), "members")
+        texts = cut(made.filter("n_words > 0").withColumnRenamed("r", "t").join(equal.select("t").hint("merge"), "t", "left_semi"), "texts")
+        remove(made)
+        met = self._meeting(texts)
+
+        # each against the pivots of its buckets; then all that lie in different components of one
+        found = cut(self._align(self._pivot_pairs(met, texts, similarity), base, texts, similarity), "links")
+        labels = components(found)
+        rest = cut(self._align(self._between(met, texts, labels, similarity), base, texts, similarity), "links")
+        self.links = found.unionByName(rest)
+        if not rest.isEmpty():
+            labels = components(self.links)
+        remove(met)
+        remove(texts)
+        known = labels.select(F.col("node").alias("t"), "label").join(equal.select("t", "rep_id"), "t")
+        first = known.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "t")).alias("m"))
+        self.named = cut(known.select("t", "label").join(cut(first, "classes"), "label").select("t", F.col("m.rep_id").alias("class_id"), F.col("m.t").alias("class_t")), "class-names")
+        remove(equal)
+
+    @staticmethod
+    def _meeting(texts: DataFrame) -> DataFrame:
+        """bucket, t, n (texts in the bucket) where more than one text meets."""
+        rows = texts.select("t", F.explode("keys").alias("bucket"))
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+        met = cut(rows.join(sizes.hint("merge"), "bucket"), "buckets")
+        remove(sizes)
+        return met
+
+    @staticmethod
+    def _pivot_pairs(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+        """a, b: each text and the pivot of a bucket of it, if they may be near."""
+        meets = cut(met.groupBy("t").agg(F.sum("n").alias("meets")), "meetings")
+        ranked = met.select("bucket", "t").join(meets.hint("merge"), "t")
+        pivots = cut(ranked.groupBy("bucket").agg(F.max(F.struct("meets", "t")).alias("p")).select("bucket", F.col("p.t").alias("b")), "pivots")
+        pairs = met.select("bucket", F.col("t").alias("a")).join(pivots.hint("merge"), "bucket").filter("a <> b").select("a", "b").distinct()
+        of = lambda c: texts.select(F.col("t").alias(c), F.struct("n_words", "signature").alias(f"{c}_text"))
+        pairs = cut(pairs, "pivot-pairs")
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
+        return cut(pairs.select("a", "b"), "candidates")
+
+    @staticmethod
+    def _between(met: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+        """a, b: pairs that share a bucket, lie in different components and may be near.
+
+        Texts meet by bucket and by number of words on a scale where those of
+        near texts are at most one step apart.
+        """
+        step = max(-math.log(similarity), 1e-3) * 1.001
+        rows = cut(met.select("bucket", "t").join(labels.withColumnRenamed("node", "t"), "t", "left").select("bucket", "t", F.coalesce("label", "t").alias("label")), "labelled-buckets")
+        mixed = cut(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
+        rows = rows.join(mixed.hint("merge"), "bucket", "left_semi")
+        of = F.struct("t", "label", "n_words", "signature")
+        x = cut(rows.join(texts.select("t", "n_words", "signature"), "t").select("bucket", F.floor(F.log("n_words") / step).alias("size"), of.alias("x")), "mixed")
+        y = x.select("bucket", F.inline(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))), F.col("x").alias("y"))
+        apart = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.t") < F.col("y.t")))
+        pairs = x.join(y.hint("merge"), ["bucket", "size"]).filter(apart & may_be_near("x", "y", similarity))
+        return cut(pairs.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct(), "between")
+
+    @staticmethod
+    def _align(pairs: DataFrame, base: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+        """The pairs that are near. The words of ``b``, which many pairs may have in common, are joined last."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().join(texts.select("t", "id", "h1", "h2"), "t")
+        needed = needed.withColumnsRenamed({"id": "rep", "h1": "g1", "h2": "g2"}).hint("merge")
+        whole = base.join(needed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("rep")))
+        words = cut(whole.select("t", "text").mapInArrow(_word_rows, "t long, words binary").dropDuplicates(["t"]), "words")
+        both = (
+            pairs.join(words.select(F.col("t").alias("a"), F.col("words").alias("x")).hint("merge"), "a")
+            .join(words.select(F.col("t").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
+            .select("a", "b", "x", "y")
+        )
+        return both.mapInArrow(_aligned(similarity), "a long, b long")
+
+    def classes(self) -> DataFrame:
+        """id, h1, h2, class_id, keep, rep_id of every row."""
+        out = self.rows.join(self.named, "t", "left")
+        return out.select(
+            "id", "h1", "h2", F.when(F.col("class_t").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("r") == F.coalesce("class_t", "t")).alias("keep"), "rep_id"
+        )
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, class_id, keep (one row of each class) of every row; an integer key that is not null."""
-    base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    kind = base.schema["id"].dataType.simpleString()
-    rows = cut(base.mapInArrow(_sketch_rows(similarity), f"id {kind}, h1 long, h2 long, n_words int, odd array<long>, sketches array<long>, keys array<long>"), "sketches")
-
-    # equal texts: one representative
-    equal = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = cut(rows.select("id", "h1", "h2").join(equal, ["h1", "h2"]).select("id", "rep"), "members")
-    reps = equal.select(F.col("rep").alias("id"), "h1", "h2")
-    single = rows.join(reps, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).filter("sketches IS NOT NULL")
-    single = cut(single.select("id", "n_words", "odd", "sketches", "keys"), "representatives")
-    remove(rows)
-
-    # in each bucket, everyone against its first and last
-    bands = single.select("id", "n_words", F.explode("sketches").alias("bucket"))
-    who = F.struct(F.xxhash64(F.lit("order"), "id").alias("place"), "id", "n_words")
-    ends = bands.groupBy("bucket").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter("first.id <> last.id")
-    met = bands.join(ends, "bucket").select(
-        "id", "n_words", F.inline(F.array(F.struct(F.col("first").alias("other"), F.lit(True).alias("early")), F.struct(F.col("last").alias("other"), F.lit(False).alias("early"))))
-    )
-    close = (F.col("id") != F.col("other.id")) & (F.least("n_words", "other.n_words") >= similarity * F.greatest("n_words", "other.n_words") - 1e-9)
-    pairs = met.filter(close).groupBy(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).agg(F.max("early").alias("early"))
-    pairs = cut(pairs, "candidates")
-
-    def words_of(some: DataFrame) -> DataFrame:
-        """Words of the documents that are in a pair; the same plan at every size."""
-        needed = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        words = base.select("id", "text").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-        return cut(words.mapInArrow(_word_rows, f"id {kind}, words binary"), "words")
-
-    def joined(labels: DataFrame, some: DataFrame, words: DataFrame) -> DataFrame:
-        """Labels (id, label) after the pairs that lie in different components are aligned."""
-        for c in ("a", "b"):
-            some = some.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c)
-        some = cut(some.filter("a_label <> b_label"), "apart")
-        both = (
-            some.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-            .join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-            .select("a_label", "b_label", "x", "y")
-        )
-        found = both.mapInArrow(_aligned(similarity), f"a_label {kind}, b_label {kind}")
-        merged = components(found, "a_label", "b_label").select(F.col("node").alias("label"), F.col("label").alias("merged"))
-        return cut(labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")), "labels")
-
-    # pairs with a bucket's first; then those with its last
-    labels = single.select("id", F.col("id").alias("label"))
-    words = words_of(pairs)
-    labels = joined(labels, pairs.filter("early").select("a", "b"), words)
-    labels = joined(labels, pairs.filter("NOT early").select("a", "b"), words)
-
-    # then all between different components of a bucket: one for each two components, and the rest
-    remove(words)
-    apart = cut(_between(single, labels, similarity), "between")
-    words = words_of(apart)
-    one = apart.groupBy("a_label", "b_label").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-    labels = joined(labels, one, words)
-    labels = joined(labels, apart.select("a", "b"), words)
-
-    named = member.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    named = named.select("id", F.coalesce("label", "rep").alias("class_id"))
-    return named.select(F.col("id").alias(key), "class_id", (F.col("id") == F.col("class_id")).alias("keep"))
-
-
-def _between(single: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """a, b, a_label, b_label: pairs that share a key, lie in different components and may be near.
-
-    Texts meet by key and by number of words on a scale where those of near
-    texts are at most one step apart.
-    """
-    step = max(-math.log(similarity), 1e-3) * 1.001
-    own = single.join(labels, "id").withColumn("size", F.floor(F.log("n_words") / step))
-    whole = Window.partitionBy("bucket")
-    rows = own.select("id", "label", F.explode("keys").alias("bucket")).withColumns({"low": F.min("label").over(whole), "high": F.max("label").over(whole)})
-    rows = cut(rows.filter("low <> high").select("bucket", "id"), "mixed-buckets")
-    rows = rows.join(own.select("id", "label", "n_words", "size", *(F.col("odd")[i].alias(f"odd{i}") for i in range(PARITIES))), "id")
-    x = rows.select("bucket", "size", F.struct("id", "label", "n_words", *(f"odd{i}" for i in range(PARITIES))).alias("x"))
-    y = x.select("bucket", F.explode(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))).alias("s"), F.col("x").alias("y"))
-    y = y.select("bucket", "s.*", "y")
-    most = F.floor((1 - similarity) * F.greatest("x.n_words", "y.n_words") + 1e-9)
-    differ = sum((F.bit_count(F.col(f"x.odd{i}").bitwiseXOR(F.col(f"y.odd{i}"))) for i in range(PARITIES)), F.lit(0))
-    close = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.id") < F.col("y.id"))) & (F.abs(F.col("x.n_words") - F.col("y.n_words")) <= most) & (differ <= 2 * most)
-    met = x.join(y.hint("merge"), ["bucket", "size"]).filter(close)
-    first = F.col("x.id") < F.col("y.id")
-    pick = lambda c, of, other: F.when(first, F.col(f"{of}.{c}")).otherwise(F.col(f"{other}.{c}"))
-    return met.select(pick("id", "x", "y").alias("a"), pick("id", "y", "x").alias("b"), pick("label", "x", "y").alias("a_label"), pick("label", "y", "x").alias("b_label")).distinct()
+    """``key``, class_id, keep (true for one row of each class), equal_id (the smallest id with an equal text) of every row."""
+    found = _Found(docs, similarity, text, key).classes()
+    return found.select(F.col("id").alias(key), "class_id", "keep", F.col("rep_id").alias("equal_id"))
+
+
+def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """a, b: smallest ids of two different texts that were aligned and are near. Their components, with
+    ``equal_id`` of :func:`near_duplicate_classes` for membership, are the classes."""
+    found = _Found(docs, similarity, text, key)
+    ids = found.rows.filter("r = t").select("t", "rep_id")
+    out = found.links
+    for c in ("a", "b"):
+        out = out.join(ids.select(F.col("t").alias(c), F.col("rep_id").alias(f"{c}_id")), c)
+    return out.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class; of repeated ids one row."""
-    classes = near_duplicate_classes(docs, similarity, text, key)
-    gone = classes.filter(~F.col("keep")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    """One row of each class, with the columns of ``docs``; of rows equal in id and text any one."""
+    mark = lambda i: F.xxhash64(F.coalesce(i.cast("string"), F.lit("null")), i.isNull())
+    found = _Found(docs, similarity, text, key).classes().filter("keep")
+    kept = found.select(mark(F.col("id")).alias("_edgeloom_id"), F.col("h1").alias("_edgeloom_h1"), F.col("h2").alias("_edgeloom_h2"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumns({"_edgeloom_id": mark(F.col(key)), "_edgeloom_h1": F.xxhash64(whole), "_edgeloom_h2": F.xxhash64(F.lit(1), whole)})
+    names = ["_edgeloom_id", "_edgeloom_h1", "_edgeloom_h2"]
+    return rows.join(kept.hint("merge"), names, "left_semi").dropDuplicates(names).select(docs.columns)

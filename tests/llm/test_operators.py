@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.llm import decontaminate, fingerprints, language_id, quality, reply_trees, sentencepieces, toxicity
-from edgeloom.llm import near_duplicates as N
+from edgeloom.llm.near_duplicates import banded_distance
 from edgeloom.llm.bytewords import Words
 
 PIECES = "piece_bpe_32k.model"
@@ -38,17 +38,7 @@ def test_automaton_and_band_against_the_table():
         for c in b:
             state = automaton.step(state, c)
         assert dict(state).get(len(a)) == want
-        assert N.banded_distance([ord(x) for x in a], [ord(x) for x in b], most) == want
-
-
-def test_near_duplicates(spark, weird):
-    base = [f"w{i}" for i in range(100)]
-    near = base[:50] + ["other"] + base[51:]
-    rows = [(10, " ".join(base)), (11, " ".join(near)), (12, " ".join(base)), (13, " ".join(f"z{i}" for i in range(100)))]
-    docs = weird.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {(r.doc_id, r.class_id) for r in N.near_duplicate_classes(docs).collect()}
-    assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (10, 10), (11, 10), (12, 10), (13, 13)}
-    assert N.near_duplicate_classes(docs.limit(0)).collect() == []
+        assert banded_distance([ord(x) for x in a], [ord(x) for x in b], most) == want
 
 
 def test_decontamination(spark, weird):
@@ -117,48 +107,6 @@ def test_slices_of_fewer_words_than_a_window(spark):
             assert got.pop(2) == hit and got in ({}, {1: (2, 0, [])})
 
 
-def test_a_source_and_its_edited_copies(spark):
-    """Copies of 0.88 likeness to a source; most are not near to each other."""
-    rng = random.Random(5)
-    source = [f"w{i}" for i in range(200)]
-    rows = [(0, " ".join(source))]
-    for i in range(1, 1001):
-        words = list(source)
-        for j in rng.sample(range(200), 24):
-            words[j] = f"x{i}y{j}"
-        rows.append((i, " ".join(words)))
-    # a template with two blanks of 30 words in 120: near only where one blank is equal
-    fill = {b: [f"{b}y{j}" for j in range(30)] for b in range(40)}
-    common = [f"t{i}" for i in range(70)]
-    for i in range(20):
-        for k in (0, 1):
-            text = common[:35] + fill[i] + common[35:] + [f"o{i}{k}y{j}" for j in range(5)]
-            rows.append((2000 + 2 * i + k, " ".join(text)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs).collect()}
-    assert {got[i] for i in range(1001)} == {0}
-    assert all(got[i] == i // 2 * 2 for i in range(2000, 2040))
-
-
-@pytest.mark.parametrize("n", range(5, 20))
-def test_short_texts_that_are_near_always_meet(n):
-    rng = random.Random(n)
-    for _ in range(100):
-        a = [rng.randrange(1 << 32) for _ in range(n)]
-        b, most = list(a), n // 5
-        for _ in range(most):
-            kind, at = rng.randrange(3), rng.randrange(len(b))
-            if kind == 0:
-                b[at] = rng.randrange(1 << 32)
-            elif kind == 1 or len(b) == N.short_limit(0.8):
-                del b[at]
-            else:
-                b.insert(at, rng.randrange(1 << 32))
-        if distance(a, b) <= max(len(a), len(b)) // 5:
-            x, y = (N.buckets(N.np.array(t, "uint64")) for t in (a, b))
-            assert set(x.tolist()) & set(y.tolist())
-
-
 def test_fingerprints_of_null_keys(spark):
     rows = [(None, "no key one two"), (None, "no key three four"), (None, "no key one two"), (1, "with key five"), (2, "with key six")]
     out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
