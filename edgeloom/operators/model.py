@@ -56,6 +56,15 @@ def edge_probe(edges: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b") -
     )
 
 
+def arc_index(edges: DataFrame) -> DataFrame:
+    """src, dst, arc (0-based, in the order of src, dst), rev (the arc back), eid (of the edge)."""
+    at = with_prefix(arcs(edges), ["src", "dst"], None, "arc")
+    back = at.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("arc").alias("rev"))
+    low, high = ordered(F.col("src"), F.col("dst"))
+    ids = edge_ids(edges).select(F.col("u").alias("_u"), F.col("v").alias("_v"), "eid")
+    return at.join(back, ["src", "dst"]).withColumns({"_u": low, "_v": high}).join(ids, ["_u", "_v"]).select("src", "dst", "arc", "rev", "eid")
+
+
 def search_keys(edges: DataFrame) -> DataFrame:
     """v, max_neighbor, mxx (sum of max_neighbor + 1 of smaller vertices)."""
     largest = arcs(edges).groupBy(F.col("src").alias("v")).agg(F.max("dst").alias("max_neighbor"))

@@ -9,11 +9,13 @@ triangle is found once; the result is sorted to ``u < v < w``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import pairwise
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators.model import arcs, degrees, edge_ids, out_degree
-from edgeloom.plans.materialize import with_prefix
+from edgeloom.plans.materialize import with_prefix, with_prefixes
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -42,13 +44,13 @@ def edge_triples(ids: DataFrame) -> DataFrame:
 
 
 def triangles_unordered(edges: DataFrame) -> DataFrame:
-    """The same rows by the other route: over all arcs, six times each, made distinct."""
-    both = arcs(edges)
-    bound = both.groupBy(F.col("src").alias("x")).agg(F.max("dst").alias("largest"))
-    paths = both.select(F.col("src").alias("x"), F.col("dst").alias("y")).join(both.select(F.col("src").alias("y"), F.col("dst").alias("z")), "y")
-    paths = paths.join(bound, "x").filter(F.col("z") <= F.col("largest"))
-    closed = paths.join(both.select(F.col("src").alias("x"), F.col("dst").alias("z")), ["x", "z"], "left_semi")
-    return closed.select(F.array_sort(F.array("x", "y", "z")).alias("t")).distinct().select(F.col("t")[0].alias("u"), F.col("t")[1].alias("v"), F.col("t")[2].alias("w"))
+    """The same rows by the other route: each edge is closed over all neighbours of its end of lower
+    degree, so each triangle is found three times and made distinct."""
+    p = _pointed(edges)
+    near = arcs(edges)
+    paths = p.join(near.select(F.col("src").alias("tail"), F.col("dst").alias("third")), "tail").filter("third <> head")
+    closed = paths.join(near.select(F.col("src").alias("head"), F.col("dst").alias("third")), ["head", "third"], "left_semi")
+    return closed.select(F.array_sort(F.array("tail", "head", "third")).alias("t")).distinct().select(F.col("t")[0].alias("u"), F.col("t")[1].alias("v"), F.col("t")[2].alias("w"))
 
 
 def wedge_counts(edges: DataFrame) -> DataFrame:
@@ -69,11 +71,14 @@ def support(edges: DataFrame) -> DataFrame:
 
 
 def arc_support(edges: DataFrame) -> DataFrame:
-    """src, dst, sup of each arc, from wedges without a list of triangles."""
-    both = arcs(edges)
-    paths = both.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via")
-    closed = paths.join(both, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("sup"))
-    return both.join(closed, ["src", "dst"], "left").select("src", "dst", F.coalesce("sup", F.lit(0)).cast("long").alias("sup"))
+    """src, dst, sup of each arc: both have what the edge has."""
+    both = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    return support(edges).select(F.inline(both), "sup")
+
+
+def triangle_count_from_arcs(edges: DataFrame) -> DataFrame:
+    """n: a sixth of the arcs' supports."""
+    return arc_support(edges).agg(F.floor(F.coalesce(F.sum("sup"), F.lit(0)) / 6).cast("long").alias("n"))
 
 
 def incidence(triples: DataFrame) -> DataFrame:
@@ -92,19 +97,46 @@ def missing_edges(edges: DataFrame) -> DataFrame:
     return support(edges).filter("sup = 0").select("u", "v")
 
 
+def _first_reaching(rows: DataFrame, weight: str, place: str, least: str, most: str, parts: int) -> DataFrame:
+    """p, cut: for each p from 1 to ``parts`` - 1 the first ``place`` of a row whose range
+    ``least`` to ``most`` has p; by sequences, so no join of rows and targets is needed."""
+    some = rows.withColumn("_upto", F.col("_before") + F.col(weight)).select(F.col(place).alias("cut"), F.expr(least).alias("least"), F.least(F.lit(parts - 1).cast("long"), F.expr(most)).alias("most"))
+    return some.filter("least <= most").select("cut", F.explode(F.sequence("least", "most")).alias("p")).groupBy("p").agg(F.min("cut").alias("cut"))
+
+
+def _ranges(spark: SparkSession, cuts: list[int]) -> DataFrame:
+    rows = [(p, lo, hi) for p, (lo, hi) in enumerate(pairwise(cuts))]
+    return spark.createDataFrame(rows, "part long, lo long, hi long")
+
+
 def balanced_cuts(edges: DataFrame, parts: int) -> DataFrame:
     """part, lo, hi: runs of edges (in the order of u, v) with about equal numbers of wedges.
 
     Cut p is the first position whose wedges up to and with it reach
-    p * total div parts.
+    p * total div parts. Only the ``parts`` cuts reach the driver.
+    """
+    placed = with_prefixes(wedge_counts(edges), ["u", "v"], {"_before": "wedges", "_at": None}, "cuts")
+    total, m = placed.agg(F.coalesce(F.sum("wedges"), F.lit(0)), F.count("*")).first()
+    if not total:
+        return _ranges(edges.sparkSession, [0] * parts + [m])
+    # before < p * total div parts <= upto, and targets of 0 for the first edge
+    least = f"if(_at = 0, 1L, ((_before + 1) * {parts} + {total} - 1) div {total})"
+    found = {r["p"]: r["cut"] for r in _first_reaching(placed, "wedges", "_at", least, f"((_upto + 1) * {parts} - 1) div {total}", parts).collect()}
+    return _ranges(edges.sparkSession, [0, *(found[p] for p in range(1, parts)), m])
+
+
+def vertex_cuts(edges: DataFrame, parts: int) -> DataFrame:
+    """part, lo, hi: ranges of vertices whose arcs lead on to about equal numbers of arcs.
+
+    A cut comes after the first vertex with which p * total / parts is reached; equal cuts
+    are one, so there may be fewer parts. The last range ends after the greatest vertex.
     """
-    counts = wedge_counts(edges)
-    before = with_prefix(counts, ["u", "v"], "wedges", "before", "cuts")
-    placed = with_prefix(before, ["u", "v"], None, "at", "cuts").select("at", (F.col("before") + F.col("wedges")).alias("upto"))
-    total = placed.agg(F.coalesce(F.max("upto"), F.lit(0)).cast("long").alias("total"), F.count("*").alias("m"))
-    targets = total.select("m", F.explode(F.sequence(F.lit(1), F.lit(parts - 1)) if parts > 1 else F.array().cast("array<int>")).alias("p"), "total")
-    targets = targets.select("p", "m", F.floor(F.col("p") * F.col("total") / parts).cast("long").alias("target"))
-    first = F.broadcast(targets).join(placed, F.col("upto") >= F.col("target")).groupBy("p").agg(F.min("at").alias("cut"))
-    ends = first.select(F.col("p").cast("long").alias("p"), "cut").unionByName(total.select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("cut"))).unionByName(total.select(F.lit(parts).cast("long").alias("p"), F.col("m").alias("cut")))
-    after = ends.select((F.col("p") - 1).alias("p"), F.col("cut").alias("hi"))
-    return ends.join(after, "p").select(F.col("p").alias("part"), F.col("cut").alias("lo"), "hi")
+    deg = degrees(edges)
+    weight = arcs(edges).join(deg.select(F.col("v").alias("dst"), "deg"), "dst").groupBy(F.col("src").alias("v")).agg(F.sum("deg").alias("wedges"))
+    placed = with_prefixes(weight, ["v"], {"_before": "wedges", "_at": None}, "vertex-cuts")
+    total, last = placed.agg(F.coalesce(F.sum("wedges"), F.lit(0)), F.coalesce(F.max("v") + 1, F.lit(0))).first()
+    if not total:
+        return _ranges(edges.sparkSession, [0, last])
+    least, most = f"_before * {parts} div {total} + 1", f"_upto * {parts} div {total}"
+    found = [r["cut"] + 1 for r in _first_reaching(placed, "wedges", "v", least, most, parts).collect()]
+    return _ranges(edges.sparkSession, sorted({0, *found, last}))

@@ -10,36 +10,51 @@ multi_k  several thresholds at once, each row keyed by its threshold
 hindex   start from the triangle counts; each edge takes the largest h such
          that h of its triangles have both other edges at h or more, until
          nothing changes (Sariyuce, Seshadhri and Pinar, PVLDB 2018)
-wedge    as peel, but the triangles are found anew from the edges left
+wedge    as peel, but the triangles are found anew from the edges left, after edges at
+         vertices of low degree have gone without a look at their triangles
 
 State is written to the shared folder each round; only scalars reach the
-driver.
+driver. A round costs some jobs however little is left, and the innermost truss of a
+large graph takes thousands of rounds over few triangles. So ``peel`` and ``hindex`` run their rounds
+in one task as soon as at most ``one_task`` triangles are left (24 bytes each; 0: never).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.operators.model import degrees, edge_ids
-from edgeloom.operators.triangles import edge_triples, incidence
-from edgeloom.plans.materialize import cut, drop
+from edgeloom.operators.triangles import edge_triples, incidence, support
+from edgeloom.plans.materialize import append, cut, drop, new_path
+
+ONE_TASK = 4_000_000
 
 
-def truss(edges: DataFrame, method: str = "hindex", chunk: int = 8, max_run_rows: int = 200_000_000) -> DataFrame:
+def truss(edges: DataFrame, method: str = "hindex", chunk: int = 8, max_run_rows: int = 200_000_000, one_task: int = ONE_TASK) -> DataFrame:
     """u, v, k of every edge."""
     if method == "hindex":
-        return hindex(edges)
+        return hindex(edges, one_task)
     if method == "peel":
-        return peel(edges)[0]
+        return peel(edges, one_task)[0]
     if method == "wedge":
-        return peel(edges, again=True)[0]
+        return wedge(edges)
     if method == "multi_k":
         return multi_k(edges, chunk, max_run_rows)
     raise ValueError(f"unknown method {method!r}: peel, multi_k, hindex or wedge")
 
 
+def start(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: edges with ids (eid, u, v) and triangles by edge ids (e1, e2, e3)."""
+    ids = cut(edge_ids(edges), "truss-edges")
+    return ids, cut(edge_triples(ids), "truss-triangles")
+
+
 def _counts(triples: DataFrame) -> DataFrame:
     return incidence(triples).groupBy("eid").agg(F.count("*").alias("sup"))
 
@@ -53,46 +68,111 @@ def _alive(triples: DataFrame, live: DataFrame, keys: list[str] | None = None) -
     return out
 
 
-def peel(edges: DataFrame, again: bool = False) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """Truss values and the history: (round, k, alive, peeled) of each batch that removed something."""
-    live = cut(edge_ids(edges), "peel-edges")
-    triples = cut(edge_triples(live), "peel-triangles")
-    history: list[tuple[int, int, int, int]] = []
-    done: list[DataFrame] = []
-    k = 0
-    while True:
-        now = live.join(_counts(triples), "eid", "left").select("eid", "u", "v", F.coalesce("sup", F.lit(0)).cast("long").alias("sup"))
-        now = cut(now, "peel-round")
-        n, least = now.agg(F.count("*"), F.min("sup")).first()
-        if not n:
-            break
-        k = max(k, least)
-        gone = now.filter(F.col("sup") <= k)
-        peeled = gone.count()
-        history.append((len(history), k, n, peeled))
-        done.append(gone.select("u", "v", F.lit(k).cast("long").alias("k")))
-        live = now.filter(F.col("sup") > k).select("eid", "u", "v")
-        if peeled == n:
+def _in_one_task(triples: DataFrame, work, schema: str) -> DataFrame:
+    """``work(sides)``, a (triangles x 3) array of edges numbered from 0, gives columns
+    for the edges; they come back with the edges' ids. For a bounded number of triangles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
+        if parts and sum(map(len, parts)):
+            ids, sides = np.unique(np.concatenate(parts), return_inverse=True)
+            columns = [ids, *work(sides.reshape(-1, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["eid", *(x.split()[0] for x in schema.split(", "))])
+
+    return triples.select("e1", "e2", "e3").coalesce(1).mapInArrow(run, f"eid long, {schema}")
+
+
+def _peel_task(k: int, first: int, live: int):
+    """k and round of each edge in a triangle, going on at ``k`` with the round ``first``, when ``live`` edges are left."""
+
+    def work(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, at, now = int(sides.max()) + 1, first, k
+        value, when = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        left = np.arange(m)
+        while len(left):
+            sup = np.bincount(sides.ravel(), minlength=m)[left]
+            if at > first or m == live:  # else edges without a triangle go first
+                now = max(now, int(sup.min()))
+            gone = left[sup <= now]
+            value[gone], when[gone] = now, at
+            left = left[sup > now]
+            dead = np.zeros(m, bool)
+            dead[gone] = True
+            sides = sides[~dead[sides].any(1)]
+            at += 1
+        return value, when
+
+    return work
+
+
+def peel(edges: DataFrame, one_task: int = ONE_TASK, begun: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """Truss values and the history: (round, k, alive, peeled) of each batch that removed something.
+
+    Each round appends the edges that go to one folder and replaces the triangles
+    by those that are left. ``begun``: from :func:`start`.
+    """
+    ids, triples = begun or start(edges)
+    all_triples, live, before = triples, ids.select("eid"), None
+    n, k, at = ids.count(), 0, 0
+    path = new_path(ids.sparkSession, "peel-gone")
+    if not n:
+        return ids.select("u", "v", F.lit(0).cast("long").alias("k")), []
+    while n:
+        if triples.count() <= one_task:
+            done = cut(_in_one_task(triples, _peel_task(k, at, n), "k long, round long"), "peel-rest")
+            bare = live.join(done.select("eid"), "eid", "left_anti").select("eid", F.lit(k).cast("long").alias("k"), F.lit(at).cast("long").alias("round"))
+            append(done.unionByName(bare), path)
+            drop(done)
             break
-        left = cut(edge_triples(live) if again else _alive(triples, live), "peel-triangles")
-        drop(triples)
+        now = cut(live.join(_counts(triples), "eid", "left").select("eid", F.coalesce("sup", F.lit(0)).cast("long").alias("sup")), "peel-round")
+        by = now.groupBy("sup").count().agg(F.min("sup").alias("least"), F.min_by("count", "sup").alias("of_least"), F.sum(F.when(F.col("sup") <= k, F.col("count"))).alias("under")).first()
+        k = max(k, by["least"])
+        append(now.filter(F.col("sup") <= k).select("eid", F.lit(k).cast("long").alias("k"), F.lit(at).cast("long").alias("round")), path)
+        n, at = n - (by["under"] or by["of_least"]), at + 1
+        live = now.filter(F.col("sup") > k).select("eid")
+        if before is not None:
+            drop(before)
+        before = now
+        left = cut(_alive(triples, live), "peel-triangles") if n else triples
+        if n and triples is not all_triples:
+            drop(triples)
         triples = left
-    out = edges.select("u", "v", F.lit(0).cast("long").alias("k")).limit(0)
-    for part in done:
-        out = out.unionByName(part)
-    return out, history
+    gone = ids.sparkSession.read.schema("eid long, k long, round long").parquet(path)
+    history, alive = [], ids.count()
+    for r in sorted(gone.groupBy("round").agg(F.max("k").alias("k"), F.count("*").alias("n")).collect()):
+        history.append((r["round"], r["k"], alive, r["n"]))
+        alive -= r["n"]
+    return ids.join(gone, "eid").select("u", "v", "k"), history
+
+
+def _hindex_task(sides: np.ndarray) -> tuple[np.ndarray]:
+    edge = sides.ravel()
+    order = np.argsort(edge, kind="stable")
+    sizes = np.bincount(edge)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(edge)) - np.repeat(begin, sizes) + 1
+    value = sizes.astype(np.int64)
+    while True:
+        low = np.repeat(value[sides].min(1), 3)[order]
+        low = low[np.lexsort((-low, edge[order]))]
+        new = np.maximum.reduceat(np.minimum(low, place), begin)
+        if (new == value).all():
+            return (value,)
+        value = new
 
 
-def hindex(edges: DataFrame) -> DataFrame:
-    ids = cut(edge_ids(edges), "hindex-edges")
-    triples = cut(edge_triples(ids), "hindex-triangles")
+def hindex(edges: DataFrame, one_task: int = ONE_TASK, begun: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    ids, triples = begun or start(edges)
+    if triples.count() <= one_task:
+        value = cut(_in_one_task(triples, _hindex_task, "k long"), "hindex-values")
+        return ids.join(value, "eid", "left").select("u", "v", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
     value = cut(_counts(triples).select("eid", F.col("sup").alias("k")), "hindex-values")
     while True:
         met = triples
         for i in (1, 2, 3):
             met = met.join(value.select(F.col("eid").alias(f"e{i}"), F.col("k").alias(f"k{i}")), f"e{i}")
-        side = lambda a, b, c: F.struct(F.col(f"e{a}").alias("eid"), F.col(f"k{a}").alias("old"), F.least(f"k{a}", f"k{b}", f"k{c}").alias("m"))
-        sides = met.select(F.inline(F.array(side(1, 2, 3), side(2, 1, 3), side(3, 1, 2))))
+        low = F.least("k1", "k2", "k3").alias("m")
+        sides = met.select(F.inline(F.array(*(F.struct(F.col(f"e{i}").alias("eid"), F.col(f"k{i}").alias("old"), low) for i in (1, 2, 3)))))
         counts = sides.groupBy("eid", "old", "m").agg(F.count("*").alias("n"))
         above = W.partitionBy("eid").orderBy(F.desc("m")).rowsBetween(W.unboundedPreceding, 0)
         heights = counts.withColumn("h", F.least("m", F.sum("n").over(above)))
@@ -105,10 +185,35 @@ def hindex(edges: DataFrame) -> DataFrame:
     return ids.join(value, "eid", "left").select("u", "v", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
 
 
+def wedge(edges: DataFrame) -> DataFrame:
+    """u, v, k, with triangles found anew each round. An edge with a vertex of degree d is
+    in at most d - 1 triangles, so edges that must go by their degrees go before that."""
+    live = cut(edges.select("u", "v"), "wedge-live")
+    path = new_path(edges.sparkSession, "wedge-gone")
+    n, k = live.count(), 0
+    if not n:
+        return live.withColumn("k", F.lit(0).cast("long"))
+    while n:
+        deg = degrees(live)
+        most = F.least("du", "dv") - 1
+        marked = live.join(deg.select(F.col("v").alias("u"), F.col("deg").alias("du")), "u").join(deg.select("v", F.col("deg").alias("dv")), "v")
+        marked = cut(marked.select("u", "v", (most <= k).alias("low")), "wedge-marked")
+        sup = support(marked.filter("NOT low").select("u", "v"))
+        now = cut(marked.join(sup, ["u", "v"], "left").select("u", "v", F.coalesce("sup", F.lit(-1)).cast("long").alias("sup")), "wedge-round")
+        by = now.groupBy("sup").count().agg(F.min("sup").alias("least"), F.min_by("count", "sup").alias("of_least"), F.sum(F.when(F.col("sup") <= k, F.col("count"))).alias("under")).first()
+        k = max(k, by["least"])
+        append(now.filter(F.col("sup") <= k).select("u", "v", F.lit(k).cast("long").alias("k")), path)
+        n -= by["under"] or by["of_least"]
+        left = cut(now.filter(F.col("sup") > k).select("u", "v"), "wedge-live")
+        drop(live, marked, now)
+        live = left
+    return edges.sparkSession.read.schema("u long, v long, k long").parquet(path)
+
+
 def multi_k(edges: DataFrame, chunk: int = 8, max_run_rows: int = 200_000_000) -> DataFrame:
     """Thresholds ``base .. base + width - 1`` are peeled together; an edge gone in
     run j and alive in run j - 1 has value j. The width doubles after each chunk
-    while width times triangles stays under ``max_run_rows``."""
+    while width times the larger of triangles and edges stays under ``max_run_rows``."""
     if chunk < 1:
         raise ValueError("chunk must be positive")
     ids = cut(edge_ids(edges), "multi-edges")
@@ -118,7 +223,7 @@ def multi_k(edges: DataFrame, chunk: int = 8, max_run_rows: int = 200_000_000) -
     values: list[DataFrame] = []
     while not live.isEmpty():
         n = triples.count()
-        width = max(1, min(width, max_run_rows // max(1, n)))
+        width = max(1, min(width, max_run_rows // max(1, n, live.count())))
         runs = F.explode(F.sequence(F.lit(base).cast("long"), F.lit(base + width - 1).cast("long"))).alias("j")
         alive = cut(live.select("eid", runs), "multi-alive")
         rows = cut(triples.select("e1", "e2", "e3", runs), "multi-rows")

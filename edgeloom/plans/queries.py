@@ -11,7 +11,9 @@ from edgeloom.operators import model as M
 from edgeloom.operators import triangles as T
 from edgeloom.operators import truss as K
 from edgeloom.plans import summary as S
+from edgeloom.plans.materialize import cut, new_path
 from edgeloom.sources.derived import graph, graph_sql
+from edgeloom.sources.graph_files import read_edges, write_csv, write_edges, write_json
 
 #: The graph of all rows of lineitem; the plain names are on the rows with l_returnflag = 'R'.
 WHOLE = "part_order"
@@ -44,6 +46,30 @@ def _rounds(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([K.round_counts(rows)], "rounds_peel long, rounds_arr long")
 
 
+def _file_round_trip(edges: DataFrame) -> DataFrame:
+    path = new_path(edges.sparkSession, "edges-file")
+    write_edges(edges, path)
+    return read_edges(edges.sparkSession, path)
+
+
+def _sink_round_trip(edges: DataFrame) -> DataFrame:
+    """The dataset row as the JSON and the CSV sink give it back."""
+    spark = edges.sparkSession
+    row = cut(S.dataset_row(edges), "dataset-row")
+    found = None
+    for sink, write, read in (("json", write_json, spark.read.schema(row.schema).json), ("csv", write_csv, spark.read.schema(row.schema).option("header", True).csv)):
+        path = new_path(spark, f"sink-{sink}")
+        write(row, path)
+        back = read(path).select(F.lit(sink).alias("sink"), "*")
+        found = back if found is None else found.unionByName(back)
+    return found
+
+
+def _first_mismatch(edges: DataFrame) -> DataFrame:
+    """The first edge whose truss value is not its number of triangles."""
+    return S.first_mismatch(K.truss(edges), T.support(edges).withColumnRenamed("sup", "k"))
+
+
 def _each(name: str) -> dict[str, Query]:
     """The queries on one graph."""
     return {
@@ -82,6 +108,13 @@ def _each(name: str) -> dict[str, Query]:
         "check_triangles": _on(S.check_triangles, name),
         "check_summary": _on(S.check_summary, name),
         "round_count": _on(_rounds, name),
+        "arc_index": _on(M.arc_index, name),
+        "triangle_count_arcs": _on(T.triangle_count_from_arcs, name),
+        "vertex_cuts": _on(lambda e: T.vertex_cuts(e, 8), name),
+        "first_mismatch": _on(_first_mismatch, name),
+        "check_multik": _on(lambda e: S.check_truss(e, ("peel", "multi_k")), name),
+        "edges_file": _on(_file_round_trip, name),
+        "dataset_sinks": _on(_sink_round_trip, name),
     }
 
 
@@ -175,5 +208,15 @@ def _each_sql(name: str) -> dict[str, str]:
         "check_truss": none,
         "check_triangles": none,
         "check_summary": none,
+        "check_multik": none,
+        "arc_index": a + ids + ", n AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS arc, src, dst FROM arcs) SELECT n.src, n.dst, n.arc, b.arc AS rev, eid FROM n JOIN n b ON b.src = n.dst AND b.dst = n.src JOIN ids ON ids.u = least(n.src, n.dst) AND ids.v = greatest(n.src, n.dst)",
+        "triangle_count_arcs": tri + " SELECT count(*) AS n FROM t",
+        "vertex_cuts": a + """, w AS (SELECT src AS v, sum(deg) AS n FROM arcs JOIN deg ON deg.v = dst GROUP BY src),
+ p AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto FROM w), s AS (SELECT sum(n) AS total, max(v) + 1 AS last FROM w),
+ c AS (SELECT DISTINCT cut FROM (SELECT min(v) + 1 AS cut FROM range(1, 8) r(i) JOIN s ON true JOIN p ON upto * 8 >= i * total GROUP BY i UNION ALL SELECT 0 UNION ALL SELECT last FROM s))
+ SELECT CAST(row_number() OVER (ORDER BY cut) - 1 AS BIGINT) AS part, CAST(cut AS BIGINT) AS lo, CAST(lead(cut) OVER (ORDER BY cut) AS BIGINT) AS hi FROM c QUALIFY hi IS NOT NULL""",
+        "first_mismatch": t.rstrip() + ", s AS (SELECT e, count(*) c FROM inc GROUP BY e), d AS (SELECT u, v, k, coalesce(c, 0) AS k2 FROM truss JOIN eid USING (u, v) LEFT JOIN s ON s.e = id) SELECT u, v, k, k2 FROM d WHERE k <> k2 ORDER BY u, v LIMIT 1",
+        "edges_file": e + " SELECT u, v FROM e",
+        "dataset_sinks": t + "SELECT sink, r.* FROM (VALUES ('json'), ('csv')) x(sink), (SELECT (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)) AS v, count(*) AS e, (SELECT max(d) FROM (SELECT count(*) d FROM (SELECT u x FROM e UNION ALL SELECT v FROM e) GROUP BY x)) AS d_max, (SELECT count(*) FROM t) AS triangles, max(k) AS k_max FROM truss) r",
         "round_count": t + "SELECT CAST(count(*) AS BIGINT) AS rounds_peel, CAST(CASE WHEN max(k) = 0 THEN 0 ELSE count(*) FILTER (WHERE peeled > 0 AND k > 0) + max(k) END AS BIGINT) AS rounds_arr FROM rounds",
     }

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators.model import degrees
-from edgeloom.operators.triangles import triangle_count, triangles, triangles_unordered
-from edgeloom.operators.truss import truss
+from edgeloom.operators.triangles import triangles, triangles_unordered
+from edgeloom.operators.truss import hindex, start, truss
 from edgeloom.plans.materialize import cut
 
 
@@ -21,28 +21,38 @@ def innermost(values: DataFrame) -> DataFrame:
     return values.join(F.broadcast(most), "k").select("u", "v")
 
 
+def _measured(edges: DataFrame, values: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges, the number of triangles (n) and the truss values; edges and triangles are found once."""
+    ids, triples = start(edges)
+    return ids, triples.agg(F.count("*").alias("n")), hindex(edges, begun=(ids, triples)) if values is None else values
+
+
+def _side_by_side(parts: list[DataFrame], names: tuple[str, ...]) -> DataFrame:
+    """One row from frames of one row each."""
+    one = F.lit(1).alias("_one")
+    out = parts[0].select("*", one)
+    for more in parts[1:]:
+        out = out.join(F.broadcast(more.select("*", one)), "_one")
+    return out.select(*(F.col(c).cast("long").alias(c) for c in names))
+
+
 def summary(edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """One row: vertex_count (largest id + 1), active_vertices, edge_count (arcs),
     undirected_edges, triangle_count, k_max, k_sum; all 0 for no edges."""
-    values = truss(edges) if values is None else values
-    of_edges = edges.agg(F.coalesce(F.max("v") + 1, F.lit(0)).alias("vertex_count"), (2 * F.count("*")).alias("edge_count"), F.count("*").alias("undirected_edges"))
-    of_vertices = degrees(edges).agg(F.count("*").alias("active_vertices"))
+    ids, n, values = _measured(edges, values)
+    of_edges = ids.agg(F.coalesce(F.max("v") + 1, F.lit(0)).alias("vertex_count"), (2 * F.count("*")).alias("edge_count"), F.count("*").alias("undirected_edges"))
+    of_vertices = degrees(ids).agg(F.count("*").alias("active_vertices"))
     of_values = values.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k_max"), F.coalesce(F.sum("k"), F.lit(0)).alias("k_sum"))
-    one = F.lit(1).alias("_one")
-    out = of_edges.select("*", one)
-    for more in (of_vertices, triangle_count(edges).withColumnRenamed("n", "triangle_count"), of_values):
-        out = out.join(F.broadcast(more.select("*", one)), "_one")
-    return out.select(*(F.col(c).cast("long").alias(c) for c in ("vertex_count", "active_vertices", "edge_count", "undirected_edges", "triangle_count", "k_max", "k_sum")))
+    names = ("vertex_count", "active_vertices", "edge_count", "undirected_edges", "triangle_count", "k_max", "k_sum")
+    return _side_by_side([of_edges, of_vertices, n.withColumnRenamed("n", "triangle_count"), of_values], names)
 
 
 def dataset_row(edges: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """v (active vertices), e, d_max, triangles, k_max."""
-    values = truss(edges) if values is None else values
-    one = F.lit(1).alias("_one")
-    out = degrees(edges).agg(F.count("*").alias("v"), F.coalesce(F.max("deg"), F.lit(0)).alias("d_max")).select("*", one)
-    for more in (edges.agg(F.count("*").alias("e")), triangle_count(edges).withColumnRenamed("n", "triangles"), values.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k_max"))):
-        out = out.join(F.broadcast(more.select("*", one)), "_one")
-    return out.select(*(F.col(c).cast("long").alias(c) for c in ("v", "e", "d_max", "triangles", "k_max")))
+    ids, n, values = _measured(edges, values)
+    of_vertices = degrees(ids).agg(F.count("*").alias("v"), F.coalesce(F.max("deg"), F.lit(0)).alias("d_max"))
+    of_values = values.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k_max"))
+    return _side_by_side([of_vertices, ids.agg(F.count("*").alias("e")), n.withColumnRenamed("n", "triangles"), of_values], ("v", "e", "d_max", "triangles", "k_max"))
 
 
 def differing_edges(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return canonicalize(read_pairs(spark, path))
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Bare edge lists, as :func:`read_edges` reads them."""
+    edges.select(F.concat_ws(" ", "u", "v").alias("value")).write.text(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

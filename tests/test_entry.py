@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["edges_canonical", "csr_offsets", "edge_ids", "triangles", "arc_support", "incidence_runs", "prune_low_degree", "trussness_hindex", "balanced_cuts", "summary"]
+NAMES = ["edges_canonical", "csr_offsets", "edge_ids", "triangles", "arc_support", "incidence_runs", "prune_low_degree", "trussness_hindex", "balanced_cuts", "summary", "arc_index", "triangle_count_arcs", "vertex_cuts", "first_mismatch", "edges_file", "dataset_sinks", "triangles_unordered", "trussness_wedge", "search_keys"]
 
 
 @pytest.mark.parametrize("name", NAMES)

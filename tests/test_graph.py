@@ -3,11 +3,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.operators import model as M
 from edgeloom.operators import triangles as T
 from edgeloom.operators import truss as K
 from edgeloom.plans import summary as S
+from edgeloom.plans.materialize import shared_dir, with_prefixes
 from edgeloom.sources.graph_files import read_edges, write_csv, write_json
 
 
@@ -54,9 +56,14 @@ def plain_peel(edges):
 def test_micro_graphs(spark, name):
     edges, want, rounds, rounds_arr = MICRO[name]
     want = {e: want.get(e, 3) if isinstance(want, dict) else want for e in edges}
-    found, history = K.peel(frame(spark, [(b, a) for a, b in edges]))
-    assert values(found) == want
-    assert K.round_counts(history) == (rounds, rounds_arr)
+    df = frame(spark, [(b, a) for a, b in edges])
+    told = []
+    for one_task in (K.ONE_TASK, 3, 0) if name == "K5_tail" else (K.ONE_TASK,):  # in one task, after some rounds, never
+        found, history = K.peel(df, one_task)
+        assert values(found) == want
+        assert K.round_counts(history) == (rounds, rounds_arr)
+        told.append(history)
+    assert all(h == told[0] for h in told)
 
 
 def test_methods_agree_on_a_random_graph(spark):
@@ -66,6 +73,8 @@ def test_methods_agree_on_a_random_graph(spark):
     want = plain_peel(edges)
     for method in ("peel", "hindex", "wedge", "multi_k"):
         assert values(K.truss(df, method, chunk=2)) == want, method
+    assert values(K.truss(df, "hindex", one_task=0)) == want
+    assert values(K.truss(df, "multi_k", chunk=4, max_run_rows=1)) == want
     sup = {(r.u, r.v): r.sup for r in T.support(df).collect()}
     assert all(want[e] <= sup[e] for e in edges)
     assert sum(sup.values()) == 3 * T.triangle_count(df).first().n
@@ -74,6 +83,49 @@ def test_methods_agree_on_a_random_graph(spark):
         K.truss(df, "other")
 
 
+def test_checks_find_planted_mismatches(spark, monkeypatch):
+    df = frame(spark, complete(0, 1, 2, 3) + [(3, 4)])
+    right = K.truss(df)
+    wrong = right.withColumn("k", F.when(F.col("u") == 1, 7).otherwise(F.col("k")).cast("long"))
+    assert S.differing_edges(right, wrong).count() == 2 and S.first_mismatch(right, wrong).first()[:] == (1, 2, 2, 7)
+    assert S.differing_edges(right, right.filter("v <> 4")).collect()[0][:] == (3, 4, 0, None)
+    assert S.first_mismatch(right, right).collect() == []
+    monkeypatch.setattr(S, "truss", lambda e, m: wrong if m in ("peel", "wedge") else right)
+    assert S.check_truss(df).first().mismatches == 2
+    assert S.check_summary(df).first().mismatches == 2  # k_max and k_sum
+    monkeypatch.setattr(S, "triangles_unordered", lambda e: T.triangles(e).filter("u = 0").withColumn("w", F.col("w") + 1))
+    assert S.check_triangles(df).first().mismatches == 5  # 3 lost, 2 that are not there
+
+
+def test_vertex_cuts_of_a_star(spark):
+    got = [r[:] for r in T.vertex_cuts(frame(spark, [(0, i) for i in range(1, 9)]), 4).orderBy("part").collect()]
+    # 8 arcs lead from the hub to one arc each, 8 lead from leaves to 8 each: 72 in all
+    assert got == [(0, 0, 3), (1, 3, 5), (2, 5, 7), (3, 7, 9)]
+    assert T.vertex_cuts(frame(spark, [(1, 1)]), 4).collect()[0][:] == (0, 0, 0)
+    assert [r[:] for r in T.balanced_cuts(frame(spark, [(0, 1), (2, 3)]), 2).collect()] == [(0, 0, 0), (1, 0, 2)]
+
+
+def test_prefixes(spark):
+    df = spark.createDataFrame([(i, i % 3, None if i == 4 else i) for i in range(20)], "i long, g long, x long")
+    got = with_prefixes(df, ["g", "i"], {"before": "x", "at": None}).orderBy("at").collect()
+    total = 0
+    for n, r in enumerate(got):
+        assert (r.at, r.before) == (n, total)
+        total += r.x or 0
+    assert [r.i for r in got] == sorted(range(20), key=lambda i: (i % 3, i))
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    assert shared_dir(spark).startswith("file:")
+
+    class Elsewhere:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Elsewhere)
+
+
 def test_empty_graph(spark):
     none = frame(spark, [(1, 1)])
     for method in ("peel", "hindex", "wedge", "multi_k"):
