@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: str | None = None
+from edgeloom.plans.materialize import cut, new_path
+from edgeloom.plans.materialize import drop as remove
+
+__all__ = ["cut", "held_out", "keep_rows", "new_path", "ranked", "remove", "share", "table", "training_rows", "within_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests, one machine) a temporary folder is made.
-    """
-    global _local_dir
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
-    return _local_dir
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/edgeloom-{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: a short lineage
-    that survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`cut`."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/edgeloom-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of documents that no model learns from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -94,8 +57,8 @@ def ranked(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
-#: Texts of more bytes are not learned from, so that what a training set needs stays bounded.
-TRAIN_BYTES = 1 << 15
+#: Bytes of the texts of a training set that reach the driver.
+TRAIN_BYTES = 64 << 20
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, wanted: int, key: str = "doc_id") -> DataFrame:
@@ -114,7 +77,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, wanted: int, k
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         chosen = known
-    return docs.join(F.broadcast(chosen), key).filter(F.octet_length("text") <= TRAIN_BYTES)
+    return docs.join(F.broadcast(chosen), key)
+
+
+def within_bytes(rows: DataFrame, text: str, most: int = TRAIN_BYTES) -> DataFrame:
+    """A random part of ``rows`` whose texts have about ``most`` bytes together; all of them if they have fewer."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return rows if total <= most else rows.filter(share(text, total, most))
 
 
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
