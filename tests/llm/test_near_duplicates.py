@@ -6,6 +6,7 @@ import pytest
 
 from edgeloom.llm import near_duplicates as N
 from edgeloom.llm.bytewords import Words
+from edgeloom.llm.components import components
 
 WEIRD = [(1, None), (2, ""), (3, "!!"), (4, "One two three"), (4, "One two three"), (5, "word " * 30_000), (6, "héllo wörld 日本")]
 
@@ -141,3 +142,20 @@ def test_a_source_and_its_edited_copies(spark):
     got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(docs).collect()}
     assert {got[i] for i in range(1001)} == {0}
     assert all(got[i] == i // 2 * 2 for i in range(2000, 2040))
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in edges:
+        if a != b:
+            up[find(a)] = find(b)
+    rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node for r in rows} == set(up) and len(rows) == len(up)
+    assert len({(find(r.node), r.label) for r in rows}) == len({find(x) for x in up}) == len({r.label for r in rows})
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
