@@ -49,7 +49,7 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     if not len(texts):
         return
-    offsets = _offsets(texts)
+    offsets = offsets_of(texts)
     at = 0
     while at < len(texts):
         end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
@@ -58,7 +58,7 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _offsets(texts: pa.Array) -> np.ndarray:
+def offsets_of(texts: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     return np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
@@ -81,7 +81,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, at: int, end: int) -> None:
-        offsets = _offsets(texts)[at : end + 1]
+        offsets = offsets_of(texts)[at : end + 1]
         lo, hi = int(offsets[0]), int(offsets[-1])
         self.n_texts = end - at
         data = texts.buffers()[2]

@@ -6,10 +6,12 @@ One shard file holds::
 
 Each id takes the fewest bits that the vocabulary needs. A block holds
 ``BLOCK_IDS`` ids (the last one fewer) and starts on a byte. The footer has
-the documents' ids (int64), the place of each document's first id within the
+the documents' keys (int64; 0 for those without one, which come first), the place
+of each document's first id within the
 shard and the number of ids (uint64, one more than documents), and the byte
 offset of each block and the end (uint64). The trailer has, as uint64: bits,
-ids to a block, documents, ids, blocks, the footer's byte offset, then magic.
+ids to a block, documents, ids, blocks, the footer's byte offset, documents without
+a key, then magic.
 
 A reader finds any id range from the block offsets alone and unpacks whole
 blocks with numpy. Files are written and read through ``pyarrow.fs``, so a
@@ -22,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import filled, slices
 from edgeloom.llm.common import new_path
-from edgeloom.llm.word_cache import WordCache
+from edgeloom.llm.word_cache import WordCache, load
 
-MAGIC = b"ELTOKEN1"
+MAGIC = b"ELTOKEN2"
 BLOCK_IDS = 1 << 16
-TRAILER = struct.Struct("<6Q8s")
+TRAILER = struct.Struct("<7Q8s")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -46,6 +49,8 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Little-endian bit packing; 64 ids fill ``bits`` words of 64 bits exactly."""
     n = len(ids)
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     groups = -(-n // 64)
     lanes = np.zeros((64, groups), dtype=np.uint64)
     padded = np.zeros(groups * 64, dtype=np.uint64)
@@ -62,6 +67,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     """``n`` ids from a block."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint64)
     groups = -(-n // 64)
     padded = data.ljust(groups * bits * 8, b"\0")
     words = np.frombuffer(padded, dtype="<u8").reshape(groups, bits).T
@@ -79,17 +86,27 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 class ShardWriter:
     def __init__(self, out, bits: int) -> None:
         self.out, self.bits, self.at = out, bits, len(MAGIC)
-        self.keys: list[int] = []
-        self.starts: list[int] = []
+        self.keys: list[np.ndarray] = []
+        self.starts: list[np.ndarray] = []
         self.blocks: list[int] = []
-        self.n_ids = 0
+        self.n_docs = self.n_ids = self.n_keyless = 0
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
         out.write(MAGIC)
 
-    def add(self, key: int, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.starts.append(self.n_ids)
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        self.add_all(pa.array([key], pa.int64()), ids, np.array([0, len(ids)]))
+
+    def add_all(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
+        """Documents with the ids ``offsets[k]..offsets[k + 1]`` of ``ids``; those without a key first of all."""
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"the id {ids.max()} does not fit in {self.bits} bits")
+        if keys.null_count and self.n_keyless < self.n_docs:
+            raise ValueError("documents without a key must come first")
+        self.n_keyless += keys.null_count
+        self.keys.append(keys.fill_null(0).to_numpy(zero_copy_only=False))
+        self.starts.append(offsets[:-1] + self.n_ids)
+        self.n_docs += len(keys)
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -110,12 +127,12 @@ class ShardWriter:
     def close(self) -> None:
         self._flush(True)
         footer = (
-            np.array(self.keys, dtype="<i8").tobytes()
-            + np.array([*self.starts, self.n_ids], dtype="<u8").tobytes()
+            np.concatenate([np.empty(0, np.int64), *self.keys]).astype("<i8").tobytes()
+            + np.concatenate([np.empty(0, np.int64), *self.starts, [self.n_ids]]).astype("<u8").tobytes()
             + np.array([*self.blocks, self.at], dtype="<u8").tobytes()
         )
         self.out.write(footer)
-        self.out.write(TRAILER.pack(self.bits, BLOCK_IDS, len(self.keys), self.n_ids, len(self.blocks), self.at, MAGIC))
+        self.out.write(TRAILER.pack(self.bits, BLOCK_IDS, self.n_docs, self.n_ids, len(self.blocks), self.at, self.n_keyless, MAGIC))
         self.out.close()
 
 
@@ -126,7 +143,7 @@ class ShardReader:
         system, path = fs.FileSystem.from_uri(uri)
         self.file = system.open_input_file(path)
         size = self.file.size()
-        self.bits, self.block_ids, self.n_docs, self.n_ids, self.n_blocks, at, magic = TRAILER.unpack(
+        self.bits, self.block_ids, self.n_docs, self.n_ids, self.n_blocks, at, self.n_keyless, magic = TRAILER.unpack(
             self.file.read_at(TRAILER.size, size - TRAILER.size)
         )
         if magic != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
@@ -153,43 +170,51 @@ class ShardReader:
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
-    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(id, first place, ids) of each document, reading about ``most`` ids at a time."""
+    def key(self, k: int) -> int | None:
+        return None if k < self.n_keyless else int(self.keys[k])
+
+    def chunks(self, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first document, one past the last, their ids), about ``most`` ids at a time."""
         at = 0
         while at < self.n_docs:
             end = int(np.searchsorted(self.starts, self.starts[at] + most, side="right")) - 1
             end = min(self.n_docs, max(end, at + 1))
+            yield at, end, self.ids(int(self.starts[at]), int(self.starts[end]))
+            at = end
+
+    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(key, first place, ids) of each document, reading about ``most`` ids at a time."""
+        for at, end, ids in self.chunks(most):
             lo = int(self.starts[at])
-            ids = self.ids(lo, int(self.starts[end]))
             for k in range(at, end):
-                yield int(self.keys[k]), int(self.starts[k]), ids[int(self.starts[k]) - lo : int(self.starts[k + 1]) - lo]
-            at = end
+                yield self.key(k), int(self.starts[k]), ids[int(self.starts[k]) - lo : int(self.starts[k + 1]) - lo]
 
 
+Encoder = Callable[[pa.Array, int, int], tuple[np.ndarray, np.ndarray]]
+
 _encoders: dict = {}
 
 
-def _encode(path: str, texts: list[str]) -> list[bytes]:
+def _encode(path: str, texts: pa.Array, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     if path not in _encoders:
-        _encoders[path] = WordCache(path, count=False, limit=600_000)
-    return _encoders[path].encode(texts)
+        _encoders[path] = WordCache(path, count=False)
+    return _encoders[path].encode(texts, at, end)
 
 
 def _shard_uri(folder: str, part: int) -> str:
     return f"{folder}/part-{part:06d}.tok"
 
 
-def write_token_files(docs: DataFrame, folder: str, encode: Callable[[list[str]], list[bytes]], vocabulary: int, end_id: int | None, text: str = "text", key: str = "doc_id") -> list[tuple[int, int]]:
-    """Writes every row's ids to shards in ascending order of ``key`` (ties by
-    the text's hash); gives (part, ids) of each shard, in that order.
+def write_token_files(docs: DataFrame, folder: str, encode: Encoder, vocabulary: int, end_id: int | None, text: str = "text", key: str = "doc_id") -> list[tuple[int, int]]:
+    """Writes every row's ids to shards in ascending order of ``key``, an integer (null
+    first; ties by the text's hash); gives (part, ids) of each shard, in that order.
 
-    ``encode`` gives the ids of each text as little-endian 32-bit integers. A
+    ``encode`` gives the ids of some texts of an array, and where each text's begin. A
     shard is one range of keys. A task writes under a name of its own and
     renames at the end, so a repeated task replaces the same file.
-    Null texts count as empty; a null key is an error.
+    Null texts count as empty. An id that the vocabulary does not have is an error.
     """
-    bits = bits_for(vocabulary)
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
+    bits = bits_for(max(vocabulary, (end_id or 0) + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -201,10 +226,11 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[list[str]]
                 if writer is None:
                     system.create_dir(to.rpartition("/")[0], recursive=True)
                     writer = ShardWriter(system.open_output_stream(own), bits)
-                for k, ids in zip(keys[at:end].to_pylist(), encode(texts[at:end].to_pylist()), strict=True):
-                    if k is None:
-                        raise ValueError("a document without an id can't be put in order")
-                    writer.add(k, np.frombuffer(ids + tail, dtype="<u4"))
+                ids, offsets = encode(texts, at, end)
+                if end_id is not None:
+                    ids = np.insert(ids, offsets[1:], end_id)
+                    offsets = offsets + np.arange(len(offsets))
+                writer.add_all(keys[at:end], ids, offsets)
         if writer is not None:
             writer.close()
             if system.get_file_info(to).type != fs.FileType.NotFound:
@@ -228,26 +254,24 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[int, i
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 reader = ShardReader(_shard_uri(folder, int(parts[k])))
-                rows: list[tuple[int, int, int, int]] = []
-                for doc, start, ids in reader.documents():
-                    rows.append((doc, int(base[k]) + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    if len(rows) == 10_000:
-                        yield _batch(rows, key)
-                        rows = []
-                yield _batch(rows, key)
-
+                for at, end, ids in reader.chunks():
+                    starts = reader.starts[at : end + 1]
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(data[a:b]) for a, b in pairwise((4 * (starts - starts[0])).tolist())]
+                    keys = pa.array(reader.keys[at:end], mask=np.arange(at, end) < reader.n_keyless)
+                    columns = [keys, pa.array(starts[:-1] + int(base[k])), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "start", "n_tokens", "ids_crc32"])
+
+    schema = f"{key} long, start long, n_tokens long, ids_crc32 long"
     if not shards:
-        return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids_crc32 long")
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, f"{key} long, start long, n_tokens long, ids_crc32 long")
-
-
-def _batch(rows: list[tuple[int, int, int, int]], key: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], [key, "start", "n_tokens", "ids_crc32"])
+        return spark.createDataFrame([], schema)
+    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
 
 
-def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Encodes, writes, reads back. An empty table gives no file and no row."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
-    shards = write_token_files(docs, folder, lambda texts: _encode(tokenizer, texts), vocabulary, end_id)
+    vocabulary = load(tokenizer).get_vocab_size(with_added_tokens=True)
+    shards = write_token_files(docs, folder, lambda texts, at, end: _encode(tokenizer, texts, at, end), vocabulary, end_id)
     return read_token_files(spark, folder, shards)

@@ -30,7 +30,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_file_round_trip(docs, public_tokenizers.path(BYTE_BPE), end_id=2, vocabulary=50_257)
+    return token_file_round_trip(docs, public_tokenizers.path(BYTE_BPE), end_id=2)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
     nodes = ranked(rows, ["conv_id", "turn", "role", "text"], "turns")
-    first = nodes.groupBy("conv_id").agg(F.min("rank").alias("first"))
-    nodes = nodes.alias("n").join(first.alias("f"), F.col("n.conv_id").eqNullSafe(F.col("f.conv_id"))).select(
-        "n.conv_id", "role", "text", F.col("rank").alias("node"), F.when(F.col("rank") > F.col("first"), F.col("rank") - 1).alias("parent")
-    )
+    # the first turn's parent is in another conversation, so it is a root
+    nodes = nodes.select("conv_id", "role", "text", F.col("rank").alias("node"), (F.col("rank") - 1).alias("parent"))
     made = chat_format(nodes).withColumns({"turns": read_turns(F.col("formatted")), "loss": read_loss(F.col("formatted"), F.col("loss_spans"))})
     parts = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return made.select(

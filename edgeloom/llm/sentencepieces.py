@@ -2,19 +2,20 @@
 
 An automaton over the model's pieces runs once through the text; at each
 position its output links give all pieces that end there, and each relaxes
-the best path to that position.
+the best score of that position with the score of the place it begins at and that of the step.
 
-For a unigram model a path's score is the sum of its pieces' scores. For a BPE
-model a transition from one piece to the next is allowed only if merging their
-joined characters by the model's ranks gives back just these two pieces (then
+For a unigram model the score of a step is its piece's, in single precision as in the library;
+of equal scores the longer piece stays. A character without a piece is a step of its own
+far below. For a BPE model a step from one piece to the next has score 0 if merging their
+joined characters by the model's ranks gives back just these two pieces, and minus infinity otherwise (then
 all of a path's pieces are what merging the whole text gives, and one path
-alone reaches each position); allowed pairs are remembered. Characters without
-a piece become their UTF-8 bytes' pieces, or the unknown piece.
+alone reaches each position); pairs are remembered. Characters without
+a piece become their UTF-8 bytes' pieces, or a run of them one unknown piece.
 
-A text is cut before each run of spaces, as no piece has a space after another
+For BPE models a text is cut before each run of spaces, as no piece has a space after another
 character, and each part's result is kept in a bounded memory.
 
-Only models with the identity normaliser are read. Defined results: a null or
+Only models with the identity normaliser and without user-defined pieces are read. Defined results: a null or
 empty text has no ids; U+2581 in a text stands for a space, as in the library,
 so it does not come back; repeated rows are encoded each; an empty table gives
 an empty result.
@@ -22,27 +23,29 @@ an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from edgeloom.llm.bytewords import filled, slices
+from edgeloom.llm.bytewords import filled, offsets_of, slices
+from edgeloom.llm.word_cache import PartCache
 
 SPACE = "▁"
-PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
+NEVER = float("-inf")
 #: The library's penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
 
 
 class Pieces:
-    def __init__(self, path: str | None = None, data: bytes | None = None, limit: int = 500_000) -> None:
+    def __init__(self, path: str | None = None, data: bytes | None = None) -> None:
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -55,28 +58,32 @@ class Pieces:
         if not self.bpe and model.trainer_spec.model_type != UNIGRAM:
             raise ValueError("only BPE and unigram models are supported")
         self.prefix = SPACE if rule.add_dummy_prefix else ""
-        self.limit = limit
         self.text = [p.piece for p in model.pieces]
         self.score = [p.score for p in model.pieces]
         kinds = [p.type for p in model.pieces]
+        if USER in kinds:
+            raise ValueError("user-defined pieces are not supported")
         self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else 0
         self.byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k == BYTE}
-        self.id = {t: i for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k in (NORMAL, USER)}
-        if any(SPACE in t.lstrip(SPACE) for t in self.id):
+        self.id = {t: i for i, (t, k) in enumerate(zip(self.text, kinds, strict=True)) if k == NORMAL}
+        if self.bpe and any(SPACE in t.lstrip(SPACE) for t in self.id):
             raise ValueError("a piece has a space after another character")
-        self.low = min((self.score[i] for i in self.id.values()), default=0.0) - UNKNOWN_PENALTY
-        self.pairs: dict[int, bool] = {}
+        self.zero = 0.0 if self.bpe else np.float32(0)
+        self.single = [np.float32(x) for x in self.score]
+        self.low = np.float32(min((self.score[i] for i in self.id.values()), default=0.0)) - np.float32(UNKNOWN_PENALTY)
+        self.low = float(self.low) if self.bpe else self.low
+        self.pairs: dict[int, float] = {}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id.items():
             if not self.bpe or self._merged(t) == [i]:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.alphabet = frozenset("".join(self.id))
+        self.alphabet = frozenset(t for t in self.id if len(t) == 1)
         self.bytes_of = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k not in (NORMAL, USER, UNKNOWN) else t.replace(SPACE, " ").encode() for t, k in zip(self.text, kinds, strict=True)]
         self.bytes_of[self.unknown] = " ⁇ ".encode()
-        self.newline = np.array(self._fallback("\n"), "<u4").tobytes() if "\n" not in self.alphabet else None
-        self.after: dict[str, bytes] = {}  # by part, one space before it
-        self.bare: dict[str, bytes] = {}  # by part as it is
+        size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.byte_size, self.byte_begin = size, np.cumsum(size) - size
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def _merged(self, text: str) -> list[int]:
         """Merging pair by pair, the best rank first, from the left."""
@@ -97,115 +104,116 @@ class Pieces:
             return [self.byte[b] for b in char.encode("utf-8", "replace")]
         return [self.unknown]
 
-    def _allowed(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(self.text[a] + self.text[b]) == [a, b]
+    def _merges(self, a: int, b: int) -> float:
+        """Score of a step from piece ``a`` to piece ``b`` of a BPE model."""
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        known = self.pairs[a << 32 | b] = 0.0 if self._merged(self.text[a] + self.text[b]) == [a, b] else NEVER
         return known
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of a part, spaces already marked."""
         n = len(text)
-        last = [-2] * (n + 1)  # the piece that the best path to each place ends with; -1: no piece
+        last = [-1] * (n + 1)  # the piece that the best path to each place ends with; -1: no piece
         start = [0] * (n + 1)
-        last[0] = -1
-        if self.bpe:
-            pairs = self.pairs
-            seen = 0
-            for end, (piece, length) in self.automaton.iter(text):
-                end += 1
-                while seen < end - 1:  # places that no piece ends at
-                    seen += 1
-                    if last[seen] == -2 and text[seen - 1] not in self.alphabet:
-                        last[seen], start[seen] = -1, seen - 1
-                if last[end] != -2:
-                    continue
-                before = last[end - length]
-                if before == -1 or (before >= 0 and (self._allowed(before, piece) if (known := pairs.get(before << 32 | piece)) is None else known)):
-                    last[end], start[end] = piece, end - length
-            for place in range(seen + 1, n + 1):
-                if last[place] == -2 and text[place - 1] not in self.alphabet:
-                    last[place], start[place] = -1, place - 1
-        else:
-            best = [float("-inf")] * (n + 1)
-            best[0] = 0.0
-            ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-            for end, found in self.automaton.iter(text):
-                ends[end + 1].append(found)
-            for place in range(1, n + 1):
-                single = False
-                for piece, length in ends[place]:
-                    single |= length == 1
-                    total = best[place - length] + self.score[piece]
-                    if total > best[place]:
-                        best[place], last[place], start[place] = total, piece, place - length
-                if not single and best[place - 1] + self.low > best[place]:
-                    best[place], last[place], start[place] = best[place - 1] + self.low, -1, place - 1
+        best: list[float] = [NEVER] * (n + 1)
+        best[0] = self.zero
+        pairs, bpe, single, alphabet = self.pairs, self.bpe, self.single, self.alphabet
+        seen = 0
+        for at, (piece, length) in self.automaton.iter(text):
+            end, begin = at + 1, at + 1 - length
+            while seen < at:  # the places before are done but for characters without a piece
+                seen += 1
+                if text[seen - 1] not in alphabet and best[seen - 1] + self.low > best[seen]:
+                    best[seen], last[seen], start[seen] = best[seen - 1] + self.low, -1, seen - 1
+            score = best[begin]
+            if score == NEVER:
+                continue
+            if not bpe:
+                score = score + single[piece]
+            elif (before := last[begin]) >= 0:
+                step = pairs.get(before << 32 | piece)
+                score += self._merges(before, piece) if step is None else step
+            if score > best[end]:
+                best[end], last[end], start[end] = score, piece, begin
+        for place in range(seen + 1, n + 1):
+            if text[place - 1] not in alphabet and best[place - 1] + self.low > best[place]:
+                best[place], last[place], start[place] = best[place - 1] + self.low, -1, place - 1
         out: list[int] = []
-        place = n
+        place, run = n, False
         while place:
             if last[place] >= 0:
                 out.append(last[place])
-            else:
-                out += reversed(self._fallback(text[start[place] : place]))
+            elif self.byte:
+                out += reversed(self._fallback(text[place - 1]))
+            elif not run:  # a run of unknown characters is one piece
+                out.append(self.unknown)
+            run = last[place] < 0
             place = start[place]
         return out[::-1]
 
-    def _part(self, text: str) -> bytes:
-        return np.array(self.viterbi(text), dtype="<u4").tobytes()
-
-    def _learn(self, word: str, lead: str) -> bytes:
-        if self.newline is None or "\n" not in word:
-            return self._part(lead + word)
-        lines, out = word.split("\n"), []
-        for k, line in enumerate(lines):
-            if k:
-                out.append(self.newline)
-            if not k:
-                out.append(self._part(lead + line) if lead + line else b"")
-            elif line:
-                known = self.bare.get(line)
-                if known is None:
-                    known = self.bare[line] = self._part(line)
-                out.append(known)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if len(self.after) + len(self.bare) > self.limit:
-            self.after, self.bare = {}, {}
-        if not self.prefix or text[0] == " " or "  " in text or SPACE in text:
-            known, out = self.bare, []
-            for part in PARTS.findall(self.prefix + text.replace(" ", SPACE)):
-                ids = known.get(part)
-                if ids is None:
-                    ids = known[part] = self._learn(part, "")
-                out.append(ids)
-            return b"".join(out)
-        known, words = self.after, text.split(" ")
-        for w in set(words):
-            if w not in known:
-                known[w] = self._learn(w, SPACE)
-        return b"".join(map(known.__getitem__, words))
-
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        text = data.decode("utf-8", "replace")
+    def ids(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return self.viterbi(self.prefix + text.replace(" ", SPACE)) if text else []
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids one after another, and where each id's end."""
+        size = self.byte_size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.byte_begin[ids] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.byte_pool[at], ends
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.decoded(ids)[0].tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def restored(self, ids: np.ndarray, offsets: np.ndarray, texts: pa.Array, at: int) -> np.ndarray:
+        """Whether decoding the ids ``offsets[k]..offsets[k + 1]`` gives the text ``at + k`` back."""
+        data, ends = self.decoded(ids)
+        ends = np.append(0, ends)[offsets]
+        begin, lead = ends[:-1], len(self.prefix)
+        place = offsets_of(texts)[at : at + len(offsets)]
+        size = np.diff(place)
+        same = np.diff(ends) == size + lead * (size > 0)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[place[0] : place[-1]] if place[-1] > place[0] else np.empty(0, np.uint8)
+        for k in np.flatnonzero(same & (size > 0)).tolist():
+            a, b = int(begin[k]) + lead, int(place[k] - place[0])
+            same[k] = (not lead or data[a - 1] == 32) and bool((data[a : a + size[k]] == raw[b : b + size[k]]).all())
+        return same
+
+
+class PieceCache(PartCache):
+    """Parts of texts, or for some models whole texts, encoded by the model."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__(count=False, first_differs=bool(pieces.prefix))
+        self.pieces = pieces
+        # a line feed without a piece is bytes and stands alone
+        self.split = pieces.bpe and "\n" not in "".join(pieces.id) and bool(pieces.byte)
+
+    def _places(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        at = super()._places(raw, offsets)
+        # U+2581 is a space too; two of them are never cut apart
+        mark = (raw[at - 1] == 0x81) & (raw[np.maximum(at - 2, 0)] == 0x96) & (raw[np.maximum(at - 3, 0)] == 0xE2)
+        return at[~mark]
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.pieces.ids(t), np.uint32) for t in texts]
+
+    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
+        out = []
+        for w, f in zip(words, first, strict=True):
+            out.append(np.array(self.pieces.viterbi((self.pieces.prefix if f else "") + w.replace(" ", SPACE)), np.uint32))
+        return out
+
 
-_models: dict[str, Pieces] = {}
+_models: dict[str, PieceCache] = {}
 
 
-def load(path: str) -> Pieces:
+def load(path: str) -> PieceCache:
     """A worker's model, read once."""
     if path not in _models:
-        _models[path] = Pieces(path)
+        _models[path] = PieceCache(Pieces(path))
     return _models[path]
 
 
@@ -214,24 +222,18 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text
     decoding gives the text back) and, if asked for, ids of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        model = load(path)
         for batch in batches:
             texts = filled(batch.column(1))
-            for at, end in slices(texts, 8 << 20):
-                n, crc, same, every = [], [], [], []
-                for t in texts[at:end].to_pylist():
-                    ids = pieces.encode(t)
-                    n.append(len(ids) // 4)
-                    crc.append(zlib.crc32(ids))
-                    same.append(pieces.decode(ids) == t)
-                    if with_ids:
-                        every.append(ids)
-                out = [batch.column(0)[at:end], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            for at, end in slices(texts, 4 << 20):
+                ids, offsets = model.encode(texts, at, end)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[a:b]) for a, b in pairwise((4 * offsets).tolist())]
+                same = model.pieces.restored(ids, offsets, texts, at)
+                out = [batch.column(0)[at:end], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
                 names = ["key", "n_ids", "ids_crc32", "round_trip"]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    values = pa.array(np.frombuffer(b"".join(every), "<i4"), pa.int32())
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -247,12 +249,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     place = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = load(path).pieces
         for batch in batches:
-            texts = [None if x is None else pieces.decode(np.array(x, "<u4").tobytes()) for x in batch.column(place).to_pylist()]
+            texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    schema = rows.schema.add(out, "string") if out not in names else None
-    if schema is None:
+    if out in names:
         raise ValueError(f"{out} is a column already")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +24,17 @@ from edgeloom.llm.word_cache import WordCache
 _counters: dict = {}
 
 
-def library_counts(path: str, texts: list[str]) -> list[int]:
+def library_counts(path: str, texts: pa.Array, at: int, end: int) -> np.ndarray:
     """Token counts by the library that the file is for, no special tokens added."""
     if path not in _counters:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _counters[path] = lambda batch: [len(x) for x in model.encode(batch, num_threads=1)]
+            _counters[path] = lambda texts, at, end: np.array([len(x) for x in model.encode(texts[at:end].to_pylist(), num_threads=1)], dtype=np.int64)
         else:
-            _counters[path] = WordCache(path, count=True).encode
-    return _counters[path](texts)
+            _counters[path] = WordCache(path, count=True).counts
+    return _counters[path](texts, at, end)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id", batch_bytes: int = 8 << 20) -> DataFrame:
@@ -42,10 +43,8 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", key
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(1))
-            counts: list[int] = []
-            for at, end in slices(texts, batch_bytes):
-                counts += library_counts(path, texts[at:end].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
+            counts = [library_counts(path, texts, at, end) for at, end in slices(texts, batch_bytes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate([np.empty(0, np.int64), *counts]), pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     rows = docs.select(
         F.col(key).alias("key"),

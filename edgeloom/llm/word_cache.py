@@ -1,12 +1,13 @@
-"""Encoding through the ``tokenizers`` library with a bounded memory of words.
-
-Texts are split at safe boundaries only: a space with a character other than
-white space on both sides. The byte-level pre-tokeniser always starts a new
-piece at such a space, so the pieces' results put together are the whole
-text's result. Words' results are kept in two generations of half of ``limit``
-words: when the younger is full it becomes the older one, whose words are taken
-over when they are met again, so frequent words stay. New words are encoded
-many at once.
+"""Encoding with a bounded memory of words.
+
+Texts are split at safe boundaries only: a space or line feed with a character
+other than white space on both sides. The byte-level pre-tokeniser always
+starts a new piece there, so the parts' results put together are the whole
+text's result. The parts of many texts are found and hashed (128 bits) on the UTF-8
+bytes at once; results are looked up in a table with one place for each value of
+``PLACE_BITS`` bits, where a newer word takes an older one's place. Only words that
+are not there are encoded, many at once. Parts of more than
+``LONGEST`` bytes are always encoded.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from edgeloom.llm.bytewords import mix, offsets_of
 
-SPACES = re.compile(r"\s\s")
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+PLACE_BITS = 20
+LONGEST = 256
+CHUNK = 1 << 20  # bytes hashed at a time
+POOL = 1 << 23  # ids kept
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _tokenizers: dict = {}
 
@@ -35,7 +42,7 @@ def load(path: str):
 
 
 def separable(path: str) -> bool:
-    """Whether texts may be split at spaces: a byte-level pre-tokeniser that adds no
+    """Whether texts may be split: a byte-level pre-tokeniser that adds no
     space, no normaliser, and no added token with white space or stripping."""
     import json
 
@@ -53,83 +60,209 @@ def separable(path: str) -> bool:
     )
 
 
-class WordCache:
-    """``count``: keep numbers of tokens; else ids as little-endian 32-bit integers."""
+_ASCII_SPACE = np.zeros(256, dtype=bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
-    def __init__(self, path: str, count: bool, limit: int = 900_000) -> None:
-        self.path, self.count, self.limit = path, count, limit
-        self.join = sum if count else b"".join
-        self.split = separable(path)
-        vocabulary = load(path).get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.after: dict[str, object] = {}  # by word, with a space before it
-        self.bare: dict[str, object] = {}  # without
-        self.older: tuple[dict[str, object], dict[str, object]] = ({}, {})
-
-    def library(self, texts: list[str]) -> list:
-        encoded = load(self.path).encode_batch_fast(texts, add_special_tokens=False)
-        return [len(x) if self.count else np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
-
-    def _learn(self, words: set[str]) -> None:
-        """Words after a space. Many are encoded as one text: each begins at the
-        one token with a space if it has no space inside."""
-        plain = [w for w in words if " " not in w]
-        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        encoded = load(self.path).encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, x in zip(groups, encoded, strict=True):
-            ids = np.array(x.ids, dtype="<u4")
-            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-            if len(at) != len(group) + 1 or at[0]:
-                self.after.update(zip(group, self.library([" " + w for w in group]), strict=True))
-            elif self.count:
-                self.after.update(zip(group, np.diff(at).tolist(), strict=True))
-            else:
-                data, ends = ids.tobytes(), (4 * at).tolist()
-                self.after.update(zip(group, [data[i:j] for i, j in zip(ends, ends[1:])], strict=True))
-        rest = [w for w in words if " " in w]
-        self.after.update(zip(rest, self.library([" " + w for w in rest]), strict=True))
-
-    def _parts(self, text: str) -> list[str]:
-        return SAFE.split(text) if SPACES.search(text) else text.split(" ")
-
-    @staticmethod
-    def _taken_over(words: set[str], older: dict[str, object], known: dict[str, object]) -> set[str]:
-        """The words that the older generation lacks; the others become known."""
-        new = set()
-        for w in words:
-            got = older.get(w)
-            if got is None:
-                new.add(w)
+
+def _wide_space(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether three bytes are a white-space character of three bytes, or end (a = any) in one of two."""
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return general | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def _narrow_space(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+
+
+def safe_places(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of spaces and line feeds between two characters of one text that are not white space."""
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    if not len(at):
+        return at
+    text = np.searchsorted(offsets, at, side="right") - 1
+    at = at[(at > offsets[text]) & (at + 1 < offsets[text + 1])]
+    at = at[~_ASCII_SPACE[raw[at - 1]] & ~_ASCII_SPACE[raw[at + 1]]]
+    high = np.flatnonzero((raw[at - 1] >= 0x80) | (raw[at + 1] >= 0x80))
+    if len(high):  # the bytes of a whole character stand on either side, so at most two more are looked at
+        p, n = at[high], len(raw) - 1
+        before = _narrow_space(raw[np.maximum(p - 2, 0)], raw[p - 1]) | _wide_space(raw[np.maximum(p - 3, 0)], raw[np.maximum(p - 2, 0)], raw[p - 1])
+        after = _narrow_space(raw[p + 1], raw[np.minimum(p + 2, n)]) | _wide_space(raw[p + 1], raw[np.minimum(p + 2, n)], raw[np.minimum(p + 3, n)])
+        at = np.delete(at, high[before | after])
+    return at
+
+
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not _powers or len(_powers[0][0]) < n:
+        _powers[:] = [tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+    return _powers
+
+
+def _hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each part of ``raw``."""
+    values, out = raw.astype(np.uint64) + np.uint64(1), []
+    for power, back in _power_tables(max(len(raw), CHUNK)):
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(values * power[: len(raw)], out=total[1:])
+        out.append(mix((total[stop] - total[start]) * back[start]))
+    return out
+
+
+class PartCache:
+    """``count``: only numbers of ids are kept. ``first_differs``: a text's first part is
+    not encoded as the same part elsewhere."""
+
+    split = True
+
+    def __init__(self, count: bool, first_differs: bool = False) -> None:
+        self.count, self.first_differs = count, first_differs
+        self._clear()
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        raise NotImplementedError
+
+    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
+        """Ids of parts, of which some are the first of their texts."""
+        raise NotImplementedError
+
+    def _places(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return safe_places(raw, offsets)
+
+    def _clear(self) -> None:
+        n = 1 << PLACE_BITS
+        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.size, self.begin = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.pool = np.empty(0 if self.count else POOL, np.uint32)
+        self.used = 0
+
+    def _keep(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids begin in the pool, which grows if they do not fit, and how many each are."""
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        begin = self.used + np.cumsum(sizes) - sizes
+        if not self.count and len(ids):
+            end = self.used + int(sizes.sum())
+            if end > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty(max(end - len(self.pool), POOL), np.uint32)])
+            self.pool[self.used : end] = np.concatenate(ids)
+            self.used = end
+        return begin, sizes
+
+    def _chunk(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in the pool and number of ids of each part."""
+        key, check = _hashes(raw, start, stop)
+        if self.first_differs:
+            check = np.where(first, ~check, check)
+        place = (key >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        known = (self.key[place] == key) & (self.check[place] == check)
+        long = stop - start > LONGEST
+        begin, size = self.begin[place], self.size[place]
+        missing = np.flatnonzero(~known | long)
+        if len(missing):
+            both = np.stack([key[missing], check[missing]], axis=1)
+            both[long[missing]] = np.stack([missing[long[missing]].astype(np.uint64)] * 2, axis=1)  # never taken for equal
+            order = np.lexsort((both[:, 1], both[:, 0]))
+            new = np.ones(len(order), bool)
+            new[1:] = (both[order][1:] != both[order][:-1]).any(1)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            one = missing[order[new]]
+            data = raw.tobytes()
+            words = [data[i:j].decode("utf-8", "replace") for i, j in zip(start[one].tolist(), stop[one].tolist(), strict=True)]
+            b, s = self._keep(self._learn(words, first[one].tolist()))
+            begin[missing], size[missing] = b[which], s[which]
+            short = ~long[one]
+            to, one = place[one[short]], one[short]
+            self.key[to], self.check[to] = key[one], check[one]
+            self.begin[to], self.size[to] = begin[one], size[one]
+        return begin, size
+
+    def _parts(self, texts: pa.Array, at: int, end: int):
+        """For each chunk: the texts of its parts (an empty text has none), where they begin in the pool, how many ids."""
+        offsets = offsets_of(texts)[at : end + 1]
+        lo = int(offsets[0])
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, dtype=np.uint8)[lo : int(offsets[-1])] if data is not None else np.empty(0, np.uint8)
+        offsets = offsets - lo
+        full = np.flatnonzero(np.diff(offsets))
+        start = np.sort(np.concatenate([offsets[full], self._places(raw, offsets)]))
+        stop = np.append(start[1:], len(raw))
+        owner = np.searchsorted(offsets, start, side="right") - 1
+        first = start == offsets[owner]
+        k = 0
+        while k < len(start):
+            if self.used > POOL // 2:
+                self._clear()
+            n = max(k + 1, int(np.searchsorted(stop, start[k] + CHUNK, side="right")))
+            base = int(start[k])
+            if n == k + 1 and stop[k] - base > CHUNK:  # one long part
+                yield owner[k:n], *self._keep(self._learn([raw[base : stop[k]].tobytes().decode("utf-8", "replace")], [bool(first[k])]))
             else:
-                known[w] = got
-        return new
+                yield owner[k:n], *self._chunk(raw[base : stop[n - 1]], start[k:n] - base, stop[k:n] - base, first[k:n])
+            k = n
+
+    def counts(self, texts: pa.Array, at: int, end: int) -> np.ndarray:
+        """Number of tokens of the texts ``at..end``, none of them null."""
+        if not self.split:
+            return np.array([len(x) for x in self.library(texts[at:end].to_pylist())], dtype=np.int64)
+        out = np.zeros(end - at, dtype=np.int64)
+        for owner, _, size in self._parts(texts, at, end):
+            out += np.bincount(owner, weights=size, minlength=end - at).astype(np.int64)
+        return out
 
-    def encode(self, texts: list[str]) -> list:
-        """One joined result for each text."""
+    def encode(self, texts: pa.Array, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts ``at..end``, and for each text the place of its first one (and the end)."""
         if not self.split:
-            return self.library(texts)
-        if len(self.after) + len(self.bare) > self.limit // 2:
-            self.older = (self.after, self.bare)
-            self.after, self.bare = {}, {}
-        out: list = []
-        at = 0
-        while at < len(texts):  # some of the texts at a time, so that the words' lists stay small
-            lists, size = [], 0
-            while at < len(texts) and size < 4_000_000:
-                lists.append(self._parts(texts[at]))
-                size += len(texts[at])
-                at += 1
-            first = {x[0] for x in lists if x[0] not in self.bare}
-            rest: set[str] = set()
-            for x in lists:
-                rest.update(x[1:])
-            rest = {w for w in rest if w not in self.after}
-            first = self._taken_over(first, self.older[1], self.bare)
-            rest = self._taken_over(rest, self.older[0], self.after)
-            some = list(first)
-            self.bare.update(zip(some, self.library(some), strict=True))
-            self._learn(rest)
-            after, bare = self.after, self.bare
-            out += [self.join([bare[x[0]], *map(after.__getitem__, x[1:])]) for x in lists]
+            rows = self.library(texts[at:end].to_pylist())
+            return np.concatenate(rows) if rows else np.empty(0, np.uint32), np.cumsum([0, *map(len, rows)])
+        n, ids = np.zeros(end - at, dtype=np.int64), [np.empty(0, np.uint32)]
+        for owner, begin, size in self._parts(texts, at, end):
+            n += np.bincount(owner, weights=size, minlength=end - at).astype(np.int64)
+            upto = np.cumsum(size)
+            ids.append(self.pool[np.repeat(begin - upto + size, size) + np.arange(int(upto[-1]))])
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(n)])
+
+
+class WordCache(PartCache):
+    """Parts encoded by the ``tokenizers`` library."""
+
+    def __init__(self, path: str, count: bool) -> None:
+        super().__init__(count)
+        self.path, self.split = path, separable(path)
+        vocabulary = load(path).get_vocab()
+        self.leads = {}
+        for lead, mark in ((" ", "Ġ"), ("\n", "Ċ")):
+            table = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            # a line feed next to other characters is a piece of its own
+            table[[i for t, i in vocabulary.items() if (t.startswith(mark) if lead == " " else t == mark)]] = True
+            self.leads[lead] = table
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in load(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
+        """Ids of each word. Words with one of ``leads`` before them, and none inside, are
+        encoded together as one text: each begins at the one token that has it."""
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
+        rest: list[int] = []
+        groups: list[tuple[str, list[int]]] = []
+        alike: dict[str, list[int]] = {lead: [] for lead in self.leads}
+        for k, w in enumerate(words):
+            if w[:1] in alike and w[0] not in w[1:] and not w[-1].isspace():
+                alike[w[0]].append(k)
+            else:
+                rest.append(k)
+        for lead, ks in alike.items():
+            groups += [(lead, ks[at : at + 500]) for at in range(0, len(ks), 500)]
+        for (lead, ks), ids in zip(groups, self.library(["".join(words[k] for k in ks) for _, ks in groups]), strict=True):
+            at = np.flatnonzero(self.leads[lead][ids])
+            if len(at) != len(ks) or at[0]:
+                rest += ks
+            else:
+                for k, part in zip(ks, np.split(ids, at[1:]), strict=True):
+                    out[k] = part
+        for k, ids in zip(rest, self.library([words[k] for k in rest]), strict=True):
+            out[k] = ids
         return out

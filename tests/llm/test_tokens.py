@@ -1,12 +1,17 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.llm import packed_ids as P
+from edgeloom.llm import word_cache
+from edgeloom.llm.sentencepieces import PieceCache, Pieces
 from edgeloom.llm.token_counts import token_counts
+from edgeloom.llm.word_cache import WordCache
 
 TEXTS = [
     None, "", " ", "a", "a  b", " a b ", "don't stop.\nNow, it's  fine\n\n x", "x<|endoftext|>y <|endoftext|> z",
@@ -57,14 +62,14 @@ def test_packing(bits):
 
 
 def test_files_round_trip(spark, docs):
-    got = P.token_file_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257).orderBy("start").collect()
+    got = P.token_file_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
     tok, at, want = library(), 0, []
     for i, t in sorted([(i * 3, t or "") for i, t in enumerate(TEXTS)] + [(3, "")]):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in got] == want
-    empty = P.token_file_round_trip(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), 2, 50_257)
+    empty = P.token_file_round_trip(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert empty.collect() == []
 
 
@@ -95,3 +100,87 @@ def test_whole_table(spark):
     out = op2_token_output(spark, d)
     assert {r.doc_id: r.n_tokens - 1 for r in out.collect()} == n
     assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(n.values()) + len(n)
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    chars = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", " ", "​", "a", "B", "é", "à", "ß", "日", "本", "😀", "'", "'s", "1", "23", ".", "_", "▁", "<|endoftext|>", "the", "The", "word"]
+    return ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(n)] + [" ".join(rng.choice(["the", "word", "café", "x\ny"]) for _ in range(2000))]
+
+
+def test_parts_equal_the_library_on_odd_texts():
+    texts = odd_texts(4000, 1)
+    array = pa.array(texts)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        want = [x.ids for x in library(name).encode_batch_fast(texts, add_special_tokens=False)]
+        cache, counts = (WordCache(public_tokenizers.path(name), count) for count in (False, True))
+        for at, end in ((0, 1500), (1500, len(texts)), (0, len(texts))):  # cold, then known
+            ids, offsets = cache.encode(array, at, end)
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want[at:end]
+            assert counts.counts(array, at, end).tolist() == list(map(len, want[at:end]))
+
+
+def test_a_small_memory_gives_the_same(monkeypatch):
+    for name, value in (("PLACE_BITS", 2), ("POOL", 64), ("CHUNK", 50), ("LONGEST", 6)):
+        monkeypatch.setattr(word_cache, name, value)
+    texts = odd_texts(500, 2)
+    want = [x.ids for x in library().encode_batch_fast(texts, add_special_tokens=False)]
+    cache = WordCache(public_tokenizers.path("byte_bpe_50k.json"), False)
+    ids, offsets = cache.encode(pa.array(texts), 0, len(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
+def test_null_keys_come_first_and_ids_must_fit(spark, tmp_path):
+    df = spark.createDataFrame([(5, "b c"), (None, "a"), (None, None), (-3, "d")], "doc_id long, text string")
+    got = P.token_file_round_trip(df, public_tokenizers.path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -3, 5] and sorted(r.n_tokens for r in got[:2]) == [1, 2]
+    with open(tmp_path / "x", "wb") as out, pytest.raises(ValueError):
+        P.ShardWriter(out, 4).add(1, np.array([16], np.uint32))
+
+
+def handmade(kind, byte_fallback):
+    """A model made up by hand: pieces with scores, no training."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = kind
+    model.trainer_spec.byte_fallback = byte_fallback
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.escape_whitespaces = True
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256) if byte_fallback]
+    rng = random.Random(kind)
+    words = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "▁▁", "cab", "é", "▁b"]
+    rows += [(w, -float(i) if kind == 2 else round(-rng.uniform(1, 9), 2), 1) for i, w in enumerate(words)]
+    for piece, score, of in rows:
+        p = model.pieces.add()
+        p.piece, p.score, p.type = piece, score, of
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize("kind, fallback", [(1, False), (1, True), (2, False), (2, True)])
+def test_handmade_models_equal_the_library(kind, fallback):
+    import sentencepiece
+
+    data = handmade(kind, fallback)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+    cache = PieceCache(Pieces(data=data))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aaabbbccc  é日xy\n") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    ids, offsets = cache.encode(pa.array(texts), 0, len(texts))
+    for t, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == lib.encode(t), t
+        assert cache.pieces.decode(ids[a:b]) == lib.decode(lib.encode(t)), t
+
+
+def test_pieces_of_odd_texts():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, cache = sentencepiece.SentencePieceProcessor(model_file=path), PieceCache(Pieces(path))
+    texts = odd_texts(3000, 4)
+    ids, offsets = cache.encode(pa.array(texts), 0, len(texts))
+    same = cache.pieces.restored(ids, offsets, pa.array(texts), 0)
+    for t, a, b, s in zip(texts, offsets, offsets[1:], same):
+        assert ids[a:b].tolist() == lib.encode(t), t
+        assert s == (cache.pieces.decode(ids[a:b]) == t), t
