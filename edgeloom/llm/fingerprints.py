@@ -2,12 +2,16 @@
 
 A lexicon keeps the terms within a band of document frequency (that is, of
 inverse document frequency). A document's distinct terms in the lexicon are
-sorted and, for each of several randomised subsets of the lexicon, hashed to
-one value. Long documents use a random part of the lexicon, a half at each
-``scale``, so that about as many terms stand in a subset whatever the length;
-the fingerprint holds its own scale and the next, so that documents on either
-side of a step still meet in one. Two documents are as alike as the share of
-subsets with equal hashes among those that are not empty in both.
+sorted and hashed to one value; so are those in each of ``SUBSETS`` times
+``len(DENSITIES)`` random subsets of the lexicon. The subsets overlap; one of density d has each term of
+the lexicon with probability 2^-d, by a hash of the term and the subset's number, and
+is part of the sparser ones' next denser one. The subsets are the same for every document, and each of a
+document's terms in the lexicon is hashed, however many they are: a short document has something in the
+dense subsets, a long one still has few terms, which may outlast an edit, in the sparse ones.
+
+Two documents are as alike as the share of equal hashes among the subsets of one
+density that are not empty in both, at that density where it is greatest; only densities count at which
+at least half of the subsets are not empty, and always the greatest density.
 
 How many terms can have a frequency of ``low`` times the documents is bounded
 by the mean number of distinct terms of a document divided by ``low``: the
@@ -26,10 +30,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.common import cut, ranked
 
-SUBSETS = 32
-#: Terms of the lexicon for which a document moves on to the next scale.
-FULL = 24
-HEX = 7
+SUBSETS = 16
+DENSITIES = (1, 3, 5, 7, 9, 11)
+HEX = 5
 
 
 def terms(text: Column) -> Column:
@@ -80,47 +83,39 @@ def fit_lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, text: st
     return Lexicon([r["h"] for r in band.select("h").collect()])
 
 
+def _hex(x: Column, digits: int) -> Column:
+    return F.lower(F.right(F.concat(F.lit("0" * digits), F.hex(x)), F.lit(digits)))
+
+
 def with_fingerprint(docs: DataFrame, lexicon: Lexicon, text: str, out: str) -> DataFrame:
-    """Adds ``out``, the fingerprint of ``text`` (not null)."""
+    """Adds ``out``, the fingerprint of ``text`` (not null): the hash of all terms, then
+    for each density those of the subsets (nothing for an empty one)."""
     rows = docs.withColumn("_all", terms(F.col(text)))
-    rows = rows.withColumn("_own", F.sort_array(F.filter("_all", lexicon.has)))
-    rows = rows.withColumn("_scale", F.greatest(F.lit(0), F.length(F.bin(F.greatest(F.lit(1), F.floor(F.size("_own") / FULL)))) - 1))
-    part = lambda h, s: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s) - 1) == 0
-    rows = rows.withColumn("_near", F.filter("_own", lambda h: part(h, F.col("_scale"))))
-    rows = rows.withColumn("_far", F.filter("_near", lambda h: part(h, F.col("_scale") + 1)))
-
-    def subsets(sample: str) -> Column:
-        subset = lambda r: F.filter(sample, lambda h: F.shiftrightunsigned(h, 16).bitwiseAND(SUBSETS - 1) == r)
-        empty = F.xxhash64(F.array().cast("array<bigint>"))
-        hashes = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: F.xxhash64(subset(r)))
-        digits = F.transform(hashes, lambda x: F.when(x == empty, F.lit("")).otherwise(F.lower(F.right(F.concat(F.lit("0" * HEX), F.hex(x)), F.lit(HEX)))))
-        return F.array_join(digits, ".")
-
-    whole = F.when(F.size("_all") > 0, F.xxhash64(F.sort_array("_all"))).otherwise(F.xxhash64(F.lit("text"), F.col(text)))
-    made = F.when(F.size("_own") == 0, F.concat(F.lit("x:"), F.lower(F.hex(whole)))).otherwise(
-        F.concat(F.col("_scale"), F.lit(":"), subsets("_near"), F.lit("|"), F.col("_scale") + 1, F.lit(":"), subsets("_far"))
-    )
-    return rows.withColumn(out, made).drop("_all", "_own", "_scale", "_near", "_far")
+    rows = rows.withColumn("_own", F.filter("_all", lexicon.has))
+    rows = rows.withColumn("_own", F.sort_array(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_all"))))
+    # a number for each term and subset, whose low bits say up to which density it is in
+    numbers = lambda r: F.transform("_own", lambda h: F.xxhash64(h, r))
+    rows = rows.withColumn("_in", F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda r: F.filter(numbers(r), lambda g: g.bitwiseAND((1 << DENSITIES[0]) - 1) == 0)))
+    for k, d in enumerate(DENSITIES):
+        if k:
+            keep = (1 << d) - 1
+            rows = rows.withColumn("_in", F.transform("_in", lambda a: F.filter(a, lambda g: g.bitwiseAND(keep) == 0)))  # noqa: B023
+        rows = rows.withColumn(f"_{d}", F.array_join(F.transform("_in", lambda a: F.when(F.size(a) == 0, F.lit("")).otherwise(_hex(F.xxhash64(a), HEX))), "."))
+    whole = F.when(F.size("_all") > 0, F.xxhash64("_own")).otherwise(F.xxhash64(F.lit("text"), F.col(text)))
+    made = F.concat_ws("|", _hex(whole, 16), *(f"_{d}" for d in DENSITIES))
+    return rows.withColumn(out, made).drop("_all", "_own", "_in", *(f"_{d}" for d in DENSITIES))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subset hashes at the densest scale that both hold."""
-    part = lambda x, i: F.split_part(x, F.lit("|"), F.lit(i))
-    scale = lambda x: F.split_part(x, F.lit(":"), F.lit(1)).try_cast("int")
+    """The greatest share of equal subset hashes at one density; 1 for equal fingerprints."""
 
-    def equal(x: Column, y: Column) -> Column:
-        hashes = lambda p: F.split(F.split_part(p, F.lit(":"), F.lit(2)), "\\.")
-        pairs = F.filter(F.arrays_zip(hashes(x).alias("l"), hashes(y).alias("r")), lambda z: (z["l"] != "") | (z["r"] != ""))
+    def share(i: int) -> Column:
+        hashes = lambda x: F.split(F.split_part(x, F.lit("|"), F.lit(i + 2)), "\\.")
+        pairs = F.filter(F.arrays_zip(hashes(a).alias("l"), hashes(b).alias("r")), lambda z: (z["l"] != "") | (z["r"] != ""))
         same = F.size(F.filter(pairs, lambda z: z["l"] == z["r"]))
-        return F.when(F.size(pairs) > 0, same / F.size(pairs)).otherwise(F.lit(0.0))
-
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when(scale(a) == scale(b), equal(part(a, 1), part(b, 1)))
-        .when(scale(a) + 1 == scale(b), equal(part(a, 2), part(b, 1)))
-        .when(scale(b) + 1 == scale(a), equal(part(a, 1), part(b, 2)))
-        .otherwise(F.lit(0.0))
-    )
+        return F.when(F.size(pairs) >= (SUBSETS // 2 if i else 1), same / F.size(pairs)).otherwise(F.lit(0.0))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*(share(i) for i in range(len(DENSITIES)))))
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
