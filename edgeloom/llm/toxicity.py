@@ -7,13 +7,16 @@ one walk finds all entries within their number of edits (none for short
 entries, then one, then two; see ``edits_for``). An approximate match of a
 word that clean training texts use is dropped.
 
-Each hit is looked at in a window of words: hits inside quotation marks count
-apart from direct ones, and hits near each other count more. A logistic
+Each hit is looked at in a window: hits between an opening and a closing quotation
+mark of one kind, at most ``QUOTED`` characters apart and in one line, count
+apart from direct ones (marks without a partner there mean nothing, nor do
+apostrophes and signs of inches), and hits near each other count more. A logistic
 regression on these sums gives the score; its prior expects direct hits to
 weigh most, misspelled ones less, quoted ones little.
 
-Training takes about ``wanted`` texts of either label, of at most
-``common.TRAIN_BYTES`` bytes (documented bounds).
+Training takes about ``wanted`` texts of either label, fewer by chance if they are
+more than ``common.TRAIN_BYTES`` bytes in all (documented bounds); each is
+learned from as a whole, whatever its length.
 
 Defined results: null and empty texts get the score of a text without a hit;
 with no usable label every score is 0; repeated rows get equal scores; an
@@ -35,15 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import filled, slices
-from edgeloom.llm.common import keep_rows, training_rows
+from edgeloom.llm.common import keep_rows, training_rows, within_bytes
 from edgeloom.llm.linear import logistic, predict
 
 WORD = re.compile(r"[^\W_]+")
-#: A quotation opens or closes.
-QUOTES = re.compile("[\"“”„«»‹›]")
+QUOTES = re.compile("[\"'“”„‘’‚«»‹›]")
+#: Marks that open, each with those that close it; straight ones go by what stands beside them.
+CLOSED_BY = {'"': '"', "'": "'", "“": "”", "„": "“”", "‘": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+QUOTED = 300
 WINDOW = 8
-SHORTEST_STEM, LONGEST_STEM, LONGEST_WORD = 4, 8, 40
-MOST_ENTRIES = 500
+SHORTEST_STEM, LONGEST_STEM = 4, 8
+#: Longer words are matched each time and not remembered.
+REMEMBERED = 40
 #: An entry is telling if clean texts have it at most this often for each toxic text that has it.
 TELLING = 0.02
 #: Prior weights of the features (see ``features``) and the bias.
@@ -158,15 +164,18 @@ class Lexicon:
         if len(self.known) > 500_000:
             self.known = {}
         known = self.known
+        far = {}
         for w in words:
             if w not in known:
-                known[w] = self.match(w) if len(w) <= LONGEST_WORD else None
+                if len(w) > REMEMBERED:
+                    far[w] = self.match(w)
+                else:
+                    known[w] = self.match(w)
+        if far:
+            known = {w: known[w] for w in words if w not in far} | far
         if not any(map(known.__getitem__, words)):
             return [], len(every)
-        quoted: list[tuple[int, int]] = []
-        marks = [m.start() for m in QUOTES.finditer(low)]
-        for a, b in zip(marks[::2], marks[1::2]):
-            quoted.append((a, b))
+        quoted = quotations(low)
         out, q = [], 0
         for place, m in enumerate(WORD.finditer(low)):
             if found := known[m[0]]:
@@ -176,6 +185,27 @@ class Lexicon:
         return out, len(every)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of opening and closing marks of quotations that lie within one line and ``QUOTED`` characters; none overlap."""
+    out: list[tuple[int, int]] = []
+    open_at: list[int] = []
+    for m in QUOTES.finditer(text):
+        at, mark = m.start(), m[0]
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        inner, outer = after.strip() != "", before == "" or not before.isalnum()
+        opens = mark in CLOSED_BY and inner and outer and (mark not in "\"'" or before.strip() == "" or before in "([{-–—:")
+        closes = before.strip() != "" and not after.isalnum()
+        while open_at and (at - open_at[0] > QUOTED or "\n" in text[open_at[0] : at]):
+            open_at.pop(0)
+        first = next((a for a in open_at if mark in CLOSED_BY[text[a]]), None) if closes else None
+        if first is not None and at > first + 1:
+            out.append((first, at))
+            open_at.clear()
+        elif opens:
+            open_at.append(at)
+    return out
+
+
 def features(hits: list[tuple[int, int, float, bool, bool]], n_words: int) -> tuple[float, ...]:
     """Logarithms of the weights' sums: of telling direct hits; of other direct hits,
     and the same for 100 words; of quoted hits; of misspelled ones; and of the
@@ -194,18 +224,20 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[st
     word_in: tuple[Counter, Counter] = (Counter(), Counter())
     stem_in: tuple[Counter, Counter] = (Counter(), Counter())
     mass: Counter = Counter()  # of a stem: words in toxic texts that begin with it
+    clean_mass: Counter = Counter()
+    n_words = [0, 0]
     for side, texts in enumerate((toxic, clean)):
         for words in texts:
-            word_in[side].update(w for w in words if 3 <= len(w) <= LONGEST_WORD)
+            word_in[side].update(words)
             stems_of = [w[:n] for w in words for n in range(SHORTEST_STEM, min(LONGEST_STEM, len(w)) + 1)]
             stem_in[side].update(set(stems_of))
-            if not side:
-                mass.update(stems_of)
+            (clean_mass if side else mass).update(stems_of)
+            n_words[side] += len(words)
     base = len(toxic) / max(1, len(toxic) + len(clean))
     candidates = sum(1 for c in word_in[0].values() if c > 1) + sum(1 for c in stem_in[0].values() if c > 1)
 
-    def gain(a: int, b: int) -> float:
-        """Nats by which the share of toxic texts differs from chance; 0 if it is not far above."""
+    def gain(a: int, b: int, base: float = base) -> float:
+        """Nats by which the share of toxic texts (or words) differs from chance; 0 if it is not far above."""
         share = a / (a + b)
         if share < base + 0.2 * (1 - base):
             return 0.0
@@ -213,6 +245,12 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[st
         return (a + b) * kl
 
     least = math.log(max(2, candidates)) + math.log(2)
+    of_words = n_words[0] / max(1, sum(n_words))
+
+    def telling(s: str, a: int, b: int) -> bool:
+        """By the texts, or by the different words that begin with it; these come
+        several to a text, so they need twice the evidence."""
+        return gain(a, b) >= least or (b <= TELLING * a and gain(mass[s], clean_mass[s], of_words) >= 2 * least)
 
     def weight(a: int, b: int) -> float:
         w = max(0.1, math.log((a + 0.5) / (len(toxic) + 1)) - math.log((b + 0.5) / (len(clean) + 1)))
@@ -229,7 +267,7 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[st
     words: dict[str, float] = {}
     for s, a in sorted(stem_in[0].items(), key=lambda x: (len(x[0]), x[0])):
         b = stem_in[1][s]
-        if a < 2 or gain(a, b) < least or any(s[:n] in stems for n in range(SHORTEST_STEM, len(s))):
+        if a < 2 or not telling(s, a, b) or any(s[:n] in stems for n in range(SHORTEST_STEM, len(s))):
             continue
         if longer.get(s, 0) >= 0.95 * mass[s]:  # a longer stem says as much
             continue
@@ -240,7 +278,7 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[st
         if a > 1 and gain(a, b) >= least and not any(w[:n] in stems for n in range(SHORTEST_STEM, len(w) + 1)):
             words[w] = weight(a, b)
     entries = [(s, True, x) for s, x in stems.items()] + [(w, False, x) for w, x in words.items()]
-    return sorted(entries, key=lambda e: (-abs(e[2]), e[0]))[:MOST_ENTRIES]
+    return sorted(entries, key=lambda e: (-abs(e[2]), e[0]))
 
 
 class ToxicityModel:
@@ -288,8 +326,8 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, wanted: int = 1500, label: str = "toxic", key: str = "doc_id") -> ToxicityModel:
-    rows = training_rows(docs.select(key, "text"), labels, label, wanted, key).select("text", "label")
-    return fit([(r["text"], r["label"]) for r in rows.collect()])
+    rows = within_bytes(training_rows(docs.select(key, "text"), labels, label, wanted, key).select("text", "label"), "text")
+    return fit([(r["text"] or "", r["label"]) for r in rows.collect()])
 
 
 _models: dict = {}
