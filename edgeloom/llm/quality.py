@@ -1,15 +1,17 @@
 """Quality by co-training: a view of the text and a view of its metadata.
 
-The text view sees only what the text looks like (shares of characters and
+The text view has what the text says (shares of its words, hashed to ``TERMS``
+kinds) and how it looks (shares of characters and
 punctuation, repetition of words and lines, lengths); the metadata view only
 the source, the language and the stated length. Each is a logistic regression.
 They start from the labelled rows; in each round either view labels the
 unlabelled rows that it is surest of for the other one. Afterwards both are
-calibrated on labelled rows that neither has learned from, and a regression on
+calibrated on a fourth of the labelled rows, which neither has learned from (labelled rows are never in the
+pool of unlabelled ones), and a regression on
 the two calibrated log-odds gives the score of every document.
 
 Training takes about ``wanted`` rows of each label and ``pool`` unlabelled
-rows, of texts of at most ``common.TRAIN_BYTES`` bytes (documented bounds);
+rows (documented bounds), whole texts of any length;
 their features, not their texts, reach the driver.
 
 Defined results: null and empty texts are scored by the features of an empty
@@ -28,16 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.bytewords import filled, slices
-from edgeloom.llm.common import TRAIN_BYTES, held_out, keep_rows, share, training_rows
+from edgeloom.llm.bytewords import Words, filled, mix, slices
+from edgeloom.llm.common import held_out, keep_rows, share, training_rows
 from edgeloom.llm.linear import logistic, predict, sigmoid
 
 SOURCES, LANGUAGES = 64, 16
 ROUNDS, SURE, PER_ROUND = 5, 0.95, 100
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
+TERMS = 256
+#: Width of the text view.
+WIDTH = 12 + len(_PUNCTUATION) + TERMS
 
 
-def text_features(text: str) -> np.ndarray:
+def content(texts: pa.Array, at: int, end: int) -> np.ndarray:
+    """A row for each of the texts ``at..end``: square roots of the shares of its words of each kind."""
+    w = Words(texts, at, end)
+    kinds = (mix(w.hash) & np.uint64(TERMS - 1)).astype(np.int64)
+    counts = np.bincount(w.text_of_word() * TERMS + kinds, minlength=(end - at) * TERMS).reshape(end - at, TERMS)
+    return np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+
+
+def looks(text: str) -> np.ndarray:
     """What a text looks like; 0 throughout for an empty one."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     out = np.zeros(12 + len(_PUNCTUATION))
@@ -110,7 +123,7 @@ class QualityModel:
         return predict(np.column_stack([a, b]), self.join), sigmoid(a), sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> QualityModel:
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
     """Rows in a fixed order; every fourth is kept for calibration."""
     if len(set(y.tolist())) < 2:
         return QualityModel()
@@ -121,7 +134,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
     own = {v: (x[train], y[train]) for v, (x, _) in views.items()}
     free = np.ones(len(pool_text), bool)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         models = {v: View().fit(*own[v]) for v in views}
         for giver, taker in (("text", "meta"), ("meta", "text")):
             if not free.any():
@@ -144,10 +157,13 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 def _features(batch: pa.RecordBatch, text: int, source: int, lang: int, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
     texts = filled(batch.column(text))
-    x = [text_features(t) for a, b in slices(texts, 4 << 20) for t in texts[a:b].to_pylist()]
+    x = [np.empty((0, WIDTH))]
+    for a, b in slices(texts):
+        shape = np.array([looks(t) for t in texts[a:b].to_pylist()])
+        x.append(np.hstack([shape, content(texts, a, b)]))
     meta = zip(*(batch.column(c).to_pylist() for c in (source, lang, n_chars)), strict=True)
     m = [meta_features(*row) for row in meta]
-    return np.array(x).reshape(len(x), -1), np.array(m).reshape(len(m), -1)
+    return np.concatenate(x), np.array(m).reshape(len(m), SOURCES + LANGUAGES + 2)
 
 
 def _columns(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,18 +180,19 @@ def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(5), both], ["key", "label", "x"])
 
     got = sorted(rows.mapInArrow(run, "key string, label int, x array<double>").collect(), key=lambda r: (zlib.crc32((r["key"] or "").encode()), r["key"] or "", r["x"]))
-    width = 12 + len(_PUNCTUATION)
-    x = np.array([r["x"] for r in got]).reshape(len(got), width + SOURCES + LANGUAGES + 2)
-    return x[:, :width], x[:, width:], np.array([float(r["label"] or 0) for r in got])
+    x = np.array([r["x"] for r in got]).reshape(len(got), WIDTH + SOURCES + LANGUAGES + 2)
+    return x[:, :WIDTH], x[:, WIDTH:], np.array([float(r["label"] or 0) for r in got])
 
 
-def train(docs: DataFrame, labels: DataFrame, wanted: int = 1500, pool: int = 3000, label: str = "quality", key: str = "doc_id") -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, wanted: int = 1500, pool: int = 3000, label: str = "quality", key: str = "doc_id", rounds: int = ROUNDS) -> QualityModel:
+    """``rounds``: how often the views exchange labels (0: not at all)."""
     known = training_rows(docs.select(key, "text", "source", "lang", "n_chars"), labels, label, wanted, key)
     text, meta, y = _gather(known.select(F.col(key).alias("key"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"), "label"))
-    free = _columns(docs, key).filter(~held_out("key") & share("key", docs.count(), pool) & (F.octet_length("text") <= TRAIN_BYTES))
+    free = _columns(docs, key).filter(~held_out("key") & share("key", docs.count(), pool))
+    free = free.join(labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key")), "key", "left_anti")
     free = free.select("*", F.lit(0).alias("label")).orderBy(F.xxhash64("key", "text")).limit(2 * pool)
     pool_text, pool_meta, _ = _gather(free)
-    return co_train(text, meta, y, pool_text, pool_meta)
+    return co_train(text, meta, y, pool_text, pool_meta, rounds)
 
 
 def quality(docs: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:
