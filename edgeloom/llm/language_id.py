@@ -12,9 +12,9 @@ kernel before its division is a product of 0/1 vectors, the landmarks and the
 regression's weights multiply into one (``DIM`` x languages) matrix; a batch
 of texts is scored by one product of its presence matrix with it.
 
-Training takes about ``per_language`` texts of each of the ``MOST_LANGUAGES``
-most frequent languages, texts of at most ``TRAIN_BYTES`` bytes, chosen by a
-hash (documented bounds, so the driver's memory does not grow with the input).
+Training takes about ``per_language`` whole texts of each language, of any length, chosen by a
+hash (a documented bound); the places of their n-grams, at most ``DIM`` to a text, and not the
+texts reach the driver, so its memory grows with the number of languages only.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 so is every text if there is nothing to learn from; repeated rows get equal
@@ -29,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import filled, mix, slices
-from edgeloom.llm.common import share
 
 DIM = 1 << 15
-MOST_LANGUAGES = 512
-TRAIN_BYTES = 1 << 16
 GAP = 1
+BLOCK = 64  # texts to a matrix product
+MOST_BROADCAST = 10_000  # languages
 
 
 def _letter_table() -> np.ndarray:
@@ -91,34 +91,33 @@ class LanguageModel:
         self.languages, self.weights, self.orders = languages, weights, orders
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        rows, at = [presence(t or "", self.orders) for t in texts], 0
         names, scores = [], []
-        while at < len(rows):  # a presence matrix of some rows at a time, as lists of places
-            some = rows[at : at + 512]
-            at += 512
-            sizes = np.array([len(x) for x in some])
-            product = np.zeros((len(some), len(self.languages)))
-            if sizes.any() and self.languages:
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                full = sizes > 0
-                product[full] = np.add.reduceat(self.weights[np.concatenate(some)], starts[full], axis=0)
-                product /= np.sqrt(np.maximum(sizes, 1))[:, None]
-            best = product.argmax(1) if self.languages else np.zeros(len(some), int)
-            sharp = np.exp(8.0 * (product - product.max(1, keepdims=True))) if self.languages else product
-            for k, n in enumerate(sizes):
-                known = n > 0 and self.languages
-                names.append(self.languages[best[k]] if known else "und")
-                scores.append(float(sharp[k, best[k]] / sharp[k].sum()) if known else 0.0)
+        block = np.zeros((BLOCK, DIM), dtype=np.float32)
+        for at in range(0, len(texts), BLOCK):
+            some = [presence(t or "", self.orders) for t in texts[at : at + BLOCK]]
+            if not self.languages:
+                names += ["und"] * len(some)
+                scores += [0.0] * len(some)
+                continue
+            for row, places in enumerate(some):
+                block[row, places] = 1 / np.sqrt(max(1, len(places)))
+            product = (block[: len(some)] @ self.weights).astype(np.float64)
+            for row, places in enumerate(some):
+                block[row, places] = 0
+            best = product.argmax(1)
+            sharp = np.exp(8.0 * (product - product.max(1, keepdims=True)))
+            for k, places in enumerate(some):
+                names.append(self.languages[best[k]] if len(places) else "und")
+                scores.append(float(sharp[k, best[k]] / sharp[k].sum()) if len(places) else 0.0)
         return names, scores
 
 
-def fit(rows: list[tuple[str, str]], orders: int, landmarks: int, ridge: float) -> LanguageModel:
-    """From (text, language) pairs."""
-    pairs = [(presence(t, orders), lang) for t, lang in rows]
-    pairs = [(p, lang) for p, lang in pairs if len(p)]
+def fit(rows: list[tuple[np.ndarray, str]], orders: int, landmarks: int, ridge: float) -> LanguageModel:
+    """From (places of a text's n-grams, language) pairs."""
+    pairs = [(p, lang) for p, lang in rows if len(p)]
     languages = sorted({lang for _, lang in pairs})
     if not languages:
-        return LanguageModel([], np.zeros((DIM, 0)), orders)
+        return LanguageModel([], np.zeros((DIM, 0), np.float32), orders)
     # landmarks in turn from each language
     by: dict[str, list[int]] = {}
     for k, (_, lang) in enumerate(pairs):
@@ -137,9 +136,11 @@ def fit(rows: list[tuple[str, str]], orders: int, landmarks: int, ridge: float)
         for row, (p, _) in enumerate(pairs[at : at + 256]):
             block[row, p] = 1 / np.sqrt(len(p))
         kernel[at : at + 256] = block @ marks.T
-    target = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in pairs])
-    count = target.clip(0).sum(0)
-    own = np.array([languages.index(lang) for _, lang in pairs])
+    number = {lang: k for k, lang in enumerate(languages)}
+    own = np.array([number[lang] for _, lang in pairs])
+    target = np.full((len(pairs), len(languages)), -1.0)
+    target[np.arange(len(pairs)), own] = 1.0
+    count = np.bincount(own)
     balance = (len(pairs) / len(languages) / count[own])[:, None]
     k64 = kernel.astype(np.float64)
     left = k64.T @ (k64 * balance) + ridge * (marks @ marks.T).astype(np.float64) + 1e-6 * np.eye(len(chosen))
@@ -147,18 +148,28 @@ def fit(rows: list[tuple[str, str]], orders: int, landmarks: int, ridge: float)
     return LanguageModel(languages, (marks.T.astype(np.float64) @ alpha).astype(np.float32), orders)
 
 
-def train(docs: DataFrame, orders: int = 4, per_language: int = 400, landmarks: int = 256, ridge: float = 1.0, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learns from the rows of ``docs`` with a language; see the module's bounds."""
+def train(docs: DataFrame, orders: int = 4, per_language: int = 400, most: int = 20_000, landmarks: int = 256, ridge: float = 1.0, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
+    """Learns from the rows of ``docs`` with a language: about ``per_language`` of each, and
+    about ``most`` together where there are very many languages (but one of each)."""
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return LanguageModel([], np.zeros((DIM, 0)), orders)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & share("key", r["count"], per_language))
-    sample = known.filter(wanted & (F.octet_length("text") <= TRAIN_BYTES)).select("text", "lang")
-    sample = sample.orderBy(F.xxhash64("key", "text")).limit(2 * per_language * len(counts))
-    return fit([(r["text"], r["lang"]) for r in sample.collect()], orders, landmarks, ridge)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    wanted = max(1, min(per_language, most // max(1, languages)))
+    place = F.pmod(F.xxhash64(F.lit("share"), "key"), F.lit(1 << 30))
+    # the rows of a language are few or many; a share of twice as many as wanted, at least 20, is then cut to size
+    counts = F.broadcast(counts) if languages <= MOST_BROADCAST else counts.hint("merge")
+    near = known.join(counts, "lang").filter(place.cast("double") * F.col("n") <= (1 << 30) * (2.0 * wanted + 20))
+    first = W.partitionBy("lang").orderBy(F.xxhash64("key", "text"), "key", "text")
+    sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= wanted).select("text", "lang")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = filled(batch.column(0))
+            found = [presence(t, orders) for at, end in slices(texts, 4 << 20) for t in texts[at:end].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["lang", "places"])
+
+    rows = sorted((r["lang"], r["places"]) for r in sample.mapInArrow(places, "lang string, places array<int>").collect())
+    return fit([(np.array(p, np.int64), lang) for lang, p in rows], orders, landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
