@@ -1,10 +1,10 @@
 """Chat formatting: reply trees to training conversations, DataFrame operations only.
 
-Messages form trees. Self-joins of a jump table (each node's 2^i-th ancestor)
-double the reach of every leaf's path until no node has an ancestor that far,
-so a path of n messages takes log2(n) rounds. Each path is scored, the best
-branches of a conversation are chosen, and each chosen path becomes one text
-with the spans under the loss mask.
+Messages form trees. Self-joins of a jump table (each node's 2^i-th ancestor, with the number and
+the scores of the messages before it) double the reach until no node has an ancestor that far,
+so a path of n messages takes log2(n) rounds and each leaf knows the mean score of its path. The best
+branches of a conversation are chosen; only their paths are enumerated, by the same jump tables, and each
+becomes one text with the spans under the loss mask.
 
 Template, for each turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. In a role or
 text a backslash is doubled and ``<|`` becomes ``<\\|`` (in a role a newline
@@ -58,42 +58,32 @@ def tree(messages: DataFrame, conv: str, node: str, parent: str, role: str, text
     return once.select("conv_key", "conv", "node", "m.*")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """conv_key, leaf, node, up (messages below it on the path) of every root-to-leaf path."""
-    links = cut(nodes.select("conv_key", "node", "parent"), "tree-links")
-    known = links.select("conv_key", F.col("node").alias("up"))
-    jump = cut(
-        links.filter("parent IS NOT NULL").select("conv_key", "node", F.col("parent").alias("up")).join(known, ["conv_key", "up"], "left_semi"),
-        "tree-jump",
-    )
-    leaves = links.join(jump.select("conv_key", F.col("up").alias("node")), ["conv_key", "node"], "left_anti")
-    reach = cut(leaves.select("conv_key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "tree-reach")
-    rooted = cut(links.join(jump, ["conv_key", "node"], "left_anti").select("conv_key", "node"), "tree-roots")
-    largest = links.groupBy("conv_key").count().agg(F.max("count")).first()[0] or 0
-    step = 1
-    while step < largest and not jump.isEmpty():
-        far = jump.select("conv_key", "node", F.col("up").alias("over"))
-        more = reach.join(far, ["conv_key", "node"]).select("conv_key", "leaf", F.col("over").alias("node"), (F.col("up") + step).alias("up"))
-        longer = cut(reach.unionByName(more), "tree-reach")
-        second = jump.select("conv_key", F.col("node").alias("over"), "up")
-        jumped = cut(far.join(second, ["conv_key", "over"]).select("conv_key", "node", "up"), "tree-jump")
-        remove(reach)
-        remove(jump)
-        reach, jump = longer, jumped
-        step *= 2
-    whole = reach.join(rooted, ["conv_key", "node"], "left_semi").select("conv_key", "leaf")
-    return reach.join(whole, ["conv_key", "leaf"], "left_semi")
-
-
-def best_paths(steps: DataFrame, nodes: DataFrame, n_best: int | None) -> DataFrame:
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Written tables, the i-th with each node's 2^i-th ancestor: conv_key, node, up (null: above the
+    root), and of the messages from the node to just below ``up``: total (score), n."""
+    up = nodes.select("conv_key", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
+    known = nodes.select("conv_key", F.col("node").alias("up"))
+    some = up.filter("up IS NOT NULL")
+    below = some.join(known.hint("merge"), ["conv_key", "up"], "left_semi").select(up.columns)
+    above = some.join(known.hint("merge"), ["conv_key", "up"], "left_anti").unionByName(up.filter("up IS NULL")).withColumn("up", F.lit(None).cast("long"))
+    levels = [cut(below.unionByName(above.select(up.columns)), "tree-jump")]
+    largest = nodes.groupBy("conv_key").count().agg(F.max("count")).first()[0] or 0
+    while 1 << len(levels) - 1 < largest and not levels[-1].filter("up IS NOT NULL").isEmpty():
+        last = levels[-1]
+        far = last.select("conv_key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
+        on = last.filter("up IS NOT NULL").join(far.hint("merge"), ["conv_key", "up"])
+        on = on.select("conv_key", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("n") + F.col("_n")).alias("n"))
+        levels.append(cut(last.filter("up IS NULL").unionByName(on), "tree-jump"))
+    return levels
+
+
+def best_leaves(levels: list[DataFrame], n_best: int | None) -> DataFrame:
     """conv_key, leaf, place of the ``n_best`` (all if None) branches of each
     conversation by mean score. One aggregation for each place: a conversation
     with very many branches never meets in one sort."""
-    scored = (
-        steps.join(nodes.select("conv_key", "node", "score"), ["conv_key", "node"])
-        .groupBy("conv_key", "leaf")
-        .agg(F.struct(F.avg("score").alias("mean"), F.count("*").alias("n"), (-F.col("leaf")).alias("minus_leaf")).alias("rank"))
-    )
+    parents = levels[0].filter("up IS NOT NULL").select("conv_key", F.col("up").alias("node"))
+    rooted = levels[-1].filter("up IS NULL").join(parents.hint("merge"), ["conv_key", "node"], "left_anti")
+    scored = rooted.select("conv_key", F.col("node").alias("leaf"), F.struct((F.col("total") / F.col("n")).alias("mean"), "n", (-F.col("node")).alias("minus_leaf")).alias("rank"))
     if n_best is None:
         return scored.select("conv_key", "leaf", F.lit(0).alias("place"))
     scored = cut(scored, "tree-scores") if n_best > 1 else scored
@@ -101,21 +91,36 @@ def best_paths(steps: DataFrame, nodes: DataFrame, n_best: int | None) -> DataFr
     for place in range(n_best):
         best = rest.groupBy("conv_key").agg(F.max("rank").alias("rank"))
         best = best.select("conv_key", (-F.col("rank.minus_leaf")).alias("leaf"), F.lit(place).alias("place"))
+        best = cut(best, "tree-best") if n_best > 1 else best
         chosen.append(best)
         if place + 1 < n_best:
-            rest = rest.join(best, ["conv_key", "leaf"], "left_anti")
+            rest = rest.join(best.hint("merge"), ["conv_key", "leaf"], "left_anti")
     out = chosen[0]
     for more in chosen[1:]:
         out = out.unionByName(more)
     return out
 
 
+def paths(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """conv_key, leaf, place, node, up (messages below it on the path) of the chosen leaves' paths to their roots."""
+    reach = chosen.select("conv_key", "leaf", "place", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for i, level in enumerate(levels):
+        far = level.filter("up IS NOT NULL").select("conv_key", "node", F.col("up").alias("_over"))
+        reach = cut(reach, "tree-reach")
+        more = reach.join(far.hint("merge"), ["conv_key", "node"])
+        reach = reach.unionByName(more.select("conv_key", "leaf", "place", F.col("_over").alias("node"), (F.col("up") + (1 << i)).alias("up")))
+    return cut(reach, "tree-paths")
+
+
 def chat_format(messages: DataFrame, conv: str = "conv_id", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, n_best: int | None = 1, loss_role: str = "assistant") -> DataFrame:
     """``conv``, leaf, place, formatted, loss_spans (array of start and length, in
     code points, of the texts of ``loss_role``) of each chosen path."""
     nodes = cut(tree(messages, conv, node, parent, role, text, score), "tree-nodes")
-    steps = cut(paths(nodes), "tree-paths")
-    rows = steps.join(best_paths(steps, nodes, n_best), ["conv_key", "leaf"]).join(nodes, ["conv_key", "node"])
+    levels = jumps(nodes)
+    steps = paths(best_leaves(levels, n_best), levels)
+    for level in levels:
+        remove(level)
+    rows = steps.join(nodes.hint("merge"), ["conv_key", "node"])
     header = F.concat(F.lit(START), escape(F.col("role"), role=True), F.lit("\n"))
     body = escape(F.col("text"))
     rows = rows.select("conv_key", "conv", "leaf", "place", "up", header.alias("header"), body.alias("body"), (F.col("role") == loss_role).alias("loss"))
