@@ -5,14 +5,15 @@ Texts are lower-cased (A-Z) and cut into words as in
 item; an item of fewer words, but not none, is one window of its own length.
 A document word inside any occurrence of a window is hit.
 
-The windows are sent to the tasks as hash sets of at most ``block_windows``
-windows (a stated bound; one item's windows stay together). The documents pass
+The windows are sent to the tasks as hash sets of about ``block_windows``
+windows (a stated bound; a larger item is split, its parts overlapping). The documents pass
 each block in turn and carry their hit words along, so a benchmark of any size
-gives the same result and no row is shuffled. Every hash that is found is
+gives the same result and no row is shuffled; between blocks the state is written to the
+shared folder, so that the driver never holds more than two. Every hash that is found is
 verified by the words themselves.
 
 Defined results: a null or empty text has no words and is never contaminated;
-repeated rows get a result each; items without words match nothing; repeated
+repeated rows get a result each; items without words match nothing; a null item id is an empty one; repeated
 items each count; an empty table on either side gives no hits.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import Words, filled, slices
+from edgeloom.llm.common import cut, remove
 
 STATE = "n_words long, n_hit long, items array<string>, spans array<int>"
 
@@ -34,7 +36,7 @@ class WindowSet:
     """Windows of some items: by length, sorted hashes; by words, the items."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
-        self.by_words: dict[bytes, set[str]] = {}
+        self.by_words: dict[bytes, tuple[str, ...]] = {}
         hashes: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             w = Words(filled(pa.array([text], pa.string())), 0, 1)
@@ -45,7 +47,10 @@ class WindowSet:
             hashes.setdefault(length, []).append(w.windows(length))
             words = [w.lower[a:b].tobytes() for a, b in zip(w.start, w.stop, strict=True)]
             for i in range(n - length + 1):
-                self.by_words.setdefault(b" ".join(words[i : i + length]), set()).add(item)
+                key = b" ".join(words[i : i + length])
+                known = self.by_words.get(key, ())
+                if item not in known:
+                    self.by_words[key] = (*known, item)
         self.hashes = {n: np.unique(np.concatenate(x)) for n, x in hashes.items()}
         #: A bit for each value of a hash's low 20 bits: most windows end there.
         self.sieve = {n: self._sieve(x) for n, x in self.hashes.items()}
@@ -56,7 +61,7 @@ class WindowSet:
         out[hashes & np.uint64((1 << 20) - 1)] = True
         return out
 
-    def hits(self, w: Words) -> Iterator[tuple[int, int, set[str]]]:
+    def hits(self, w: Words) -> Iterator[tuple[int, int, tuple[str, ...]]]:
         """(first word, words, items) of each occurrence within one text."""
         last = w.first[1:]
         owner = w.text_of_word()
@@ -138,16 +143,29 @@ def _pass(windows: WindowSet, rest: int):
     return run
 
 
+def item_parts(text: str, size: int, most: int) -> Iterator[tuple[str, int]]:
+    """Parts of an item with all of its windows, ``most`` at most in each, and their numbers."""
+    w = Words(filled(pa.array([text], pa.string())), 0, 1)
+    n = len(w.start) - size + 1
+    if n <= most:
+        yield text, max(1, n)
+        return
+    for at in range(0, n, most):
+        end = min(n, at + most)
+        yield w.lower[w.start[at] : w.stop[end + size - 2]].tobytes().decode(), end - at
+
+
 def item_blocks(benchmark: DataFrame, size: int, most: int, item: str, text: str) -> Iterator[WindowSet]:
-    """Window sets of about ``most`` windows; the items reach the driver one block at a time."""
+    """Window sets of about ``most`` windows; the items reach the driver one partition at a time."""
     block: list[tuple[str, str | None]] = []
     n = 0
-    for i, t in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        block.append((i, t))
-        n += len(t or "") // 2 + 1  # as many words at most
-        if n > most:
-            yield WindowSet(block, size)
-            block, n = [], 0
+    for i, t in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).toLocalIterator():
+        for part, windows in item_parts(t or "", size, most):
+            if block and n + windows > most:
+                yield WindowSet(block, size)
+                block, n = [], 0
+            block.append((i, part))
+            n += windows
     yield WindowSet(block, size)
 
 
@@ -157,8 +175,15 @@ def _with_state(docs: DataFrame, benchmark: DataFrame, size: int, block_windows:
     names = [f"c{i}" for i in range(len(order))]
     out = docs.select([F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    last, before = False, None
     for windows in item_blocks(benchmark, size, block_windows, item, item_text):
+        if last:  # another block comes: what the one before found is written, and it can go
+            out = cut(out, "contamination")
+            if before is not None:
+                remove(before)
+            before = out
         out = out.mapInArrow(_pass(windows, len(order)), f"{schema}, {STATE}")
+        last = True
     return out, order
 
 
