@@ -250,7 +250,7 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[tuple[st
     def telling(s: str, a: int, b: int) -> bool:
         """By the texts, or by the different words that begin with it; these come
         several to a text, so they need twice the evidence."""
-        return gain(a, b) >= least or (b <= TELLING * a and gain(mass[s], clean_mass[s], of_words) >= 2 * least)
+        return gain(a, b) >= least or gain(mass[s], clean_mass[s], of_words) >= 2 * least
 
     def weight(a: int, b: int) -> float:
         w = max(0.1, math.log((a + 0.5) / (len(toxic) + 1)) - math.log((b + 0.5) / (len(clean) + 1)))
