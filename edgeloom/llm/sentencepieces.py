@@ -200,11 +200,16 @@ class PieceCache(PartCache):
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.pieces.ids(t), np.uint32) for t in texts]
 
-    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
-        out = []
-        for w, f in zip(words, first, strict=True):
-            out.append(np.array(self.pieces.viterbi((self.pieces.prefix if f else "") + w.replace(" ", SPACE)), np.uint32))
-        return out
+    def _learn(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, prefix, viterbi = raw.tobytes(), self.pieces.prefix, self.pieces.viterbi
+        made: list[int] = []
+        size = []
+        for a, b, f in zip(start.tolist(), stop.tolist(), first.tolist(), strict=True):
+            ids = viterbi((prefix if f else "") + data[a:b].decode("utf-8", "replace").replace(" ", SPACE))
+            made += ids
+            size.append(len(ids))
+        sizes = np.array(size, np.int64)
+        return np.array(made, np.uint32), np.cumsum(sizes) - sizes, sizes
 
 
 _models: dict[str, PieceCache] = {}

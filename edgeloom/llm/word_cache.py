@@ -1,7 +1,8 @@
 """Encoding with a bounded memory of words.
 
-Texts are split at safe boundaries only: a space or line feed with a character
-other than white space on both sides. The byte-level pre-tokeniser always
+Texts are split at safe boundaries only: before a space or line feed with a character
+other than white space on both sides, and for the byte-level pre-tokeniser between a letter or digit and
+one of ``.,;:!?`` too. It always
 starts a new piece there, so the parts' results put together are the whole
 text's result. The parts of many texts are found and hashed (128 bits) on the UTF-8
 bytes at once; results are looked up in a table with one place for each value of
@@ -20,7 +21,7 @@ import pyarrow as pa
 
 from edgeloom.llm.bytewords import mix, offsets_of
 
-PLACE_BITS = 20
+PLACE_BITS = 21
 LONGEST = 256
 CHUNK = 1 << 20  # bytes hashed at a time
 POOL = 1 << 23  # ids kept
@@ -43,7 +44,7 @@ def load(path: str):
 
 def separable(path: str) -> bool:
     """Whether texts may be split: a byte-level pre-tokeniser that adds no
-    space, no normaliser, and no added token with white space or stripping."""
+    space, no normaliser, and no added token that a boundary could cut, or with stripping."""
     import json
 
     spec = json.loads(load(path).to_str())
@@ -54,7 +55,7 @@ def separable(path: str) -> bool:
         and not pre.get("add_prefix_space")
         and bool(pre.get("use_regex", True))
         and not any(
-            t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
+            t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[\s.,;:!?]", t["content"])
             for t in spec.get("added_tokens", [])
         )
     )
@@ -91,6 +92,20 @@ def safe_places(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at
 
 
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".,;:!?")] = True
+_ASCII_WORD = np.zeros(256, dtype=bool)
+_ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def stop_places(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of one of ``.,;:!?`` after an ASCII letter or digit or one of the letters U+00C0 to U+00FF of the same text."""
+    at = np.flatnonzero(_STOP[raw])
+    at = at[~np.isin(at, offsets)] if len(at) else at
+    a, b = raw[at - 1], raw[np.maximum(at - 2, 0)]
+    return at[_ASCII_WORD[a] | ((b == 0xC3) & (a >= 0x80) & (a != 0x97) & (a != 0xB7))]
+
+
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -124,8 +139,9 @@ class PartCache:
         """Ids of whole texts."""
         raise NotImplementedError
 
-    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
-        """Ids of parts, of which some are the first of their texts."""
+    def _learn(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts of ``raw``, of which some are the first of their texts: all
+        ids in any order, and for each part where they begin and how many they are."""
         raise NotImplementedError
 
     def _places(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -134,21 +150,20 @@ class PartCache:
     def _clear(self) -> None:
         n = 1 << PLACE_BITS
         self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.size, self.begin = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.size, self.begin = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.pool = np.empty(0 if self.count else POOL, np.uint32)
         self.used = 0
 
-    def _keep(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids begin in the pool, which grows if they do not fit, and how many each are."""
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        begin = self.used + np.cumsum(sizes) - sizes
-        if not self.count and len(ids):
-            end = self.used + int(sizes.sum())
+    def _keep(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids into the pool, which grows if they do not fit; where they begin in it, how many they are."""
+        begin = begin + self.used
+        if not self.count:
+            end = self.used + len(ids)
             if end > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty(max(end - len(self.pool), POOL), np.uint32)])
-            self.pool[self.used : end] = np.concatenate(ids)
+            self.pool[self.used : end] = ids
             self.used = end
-        return begin, sizes
+        return begin, size
 
     def _chunk(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin in the pool and number of ids of each part."""
@@ -158,7 +173,7 @@ class PartCache:
         place = (key >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
         known = (self.key[place] == key) & (self.check[place] == check)
         long = stop - start > LONGEST
-        begin, size = self.begin[place], self.size[place]
+        begin, size = self.begin[place].astype(np.int64), self.size[place].astype(np.int64)
         missing = np.flatnonzero(~known | long)
         if len(missing):
             both = np.stack([key[missing], check[missing]], axis=1)
@@ -169,9 +184,7 @@ class PartCache:
             which = np.empty(len(order), np.int64)
             which[order] = np.cumsum(new) - 1
             one = missing[order[new]]
-            data = raw.tobytes()
-            words = [data[i:j].decode("utf-8", "replace") for i, j in zip(start[one].tolist(), stop[one].tolist(), strict=True)]
-            b, s = self._keep(self._learn(words, first[one].tolist()))
+            b, s = self._keep(*self._learn(raw, start[one], stop[one], first[one]))
             begin[missing], size[missing] = b[which], s[which]
             short = ~long[one]
             to, one = place[one[short]], one[short]
@@ -198,7 +211,7 @@ class PartCache:
             n = max(k + 1, int(np.searchsorted(stop, start[k] + CHUNK, side="right")))
             base = int(start[k])
             if n == k + 1 and stop[k] - base > CHUNK:  # one long part
-                yield owner[k:n], *self._keep(self._learn([raw[base : stop[k]].tobytes().decode("utf-8", "replace")], [bool(first[k])]))
+                yield owner[k:n], *self._keep(*self._learn(raw, start[k:n], stop[k:n], first[k:n]))
             else:
                 yield owner[k:n], *self._chunk(raw[base : stop[n - 1]], start[k:n] - base, stop[k:n] - base, first[k:n])
             k = n
@@ -239,30 +252,43 @@ class WordCache(PartCache):
             table[[i for t, i in vocabulary.items() if (t.startswith(mark) if lead == " " else t == mark)]] = True
             self.leads[lead] = table
 
+    def _places(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.concatenate([safe_places(raw, offsets), stop_places(raw, offsets)])
+
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=np.uint32) for x in load(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], first: list[bool]) -> list[np.ndarray]:
-        """Ids of each word. Words with one of ``leads`` before them, and none inside, are
+    def _learn(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts with one of ``leads`` before them, and none inside, are
         encoded together as one text: each begins at the one token that has it."""
-        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
-        rest: list[int] = []
-        groups: list[tuple[str, list[int]]] = []
-        alike: dict[str, list[int]] = {lead: [] for lead in self.leads}
-        for k, w in enumerate(words):
-            if w[:1] in alike and w[0] not in w[1:] and not w[-1].isspace():
-                alike[w[0]].append(k)
-            else:
-                rest.append(k)
-        for lead, ks in alike.items():
-            groups += [(lead, ks[at : at + 500]) for at in range(0, len(ks), 500)]
-        for (lead, ks), ids in zip(groups, self.library(["".join(words[k] for k in ks) for _, ks in groups]), strict=True):
-            at = np.flatnonzero(self.leads[lead][ids])
-            if len(at) != len(ks) or at[0]:
-                rest += ks
-            else:
-                for k, part in zip(ks, np.split(ids, at[1:]), strict=True):
-                    out[k] = part
-        for k, ids in zip(rest, self.library([words[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+        begin, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        at = np.repeat(start - np.cumsum(stop - start) + (stop - start), stop - start) + np.arange(int((stop - start).sum()))
+        data = raw[at]  # the parts one after another
+        ends = np.cumsum(stop - start)
+        starts = ends - (stop - start)
+        last, before = data[ends - 1], data[np.maximum(ends - 2, starts)]
+        plain = (last < 0x80) & ~_ASCII_SPACE[last] | (last >= 0x80) & (before == 0xC3)
+        rest, groups = np.ones(len(start), bool), []
+        for lead, table in self.leads.items():
+            inside = np.add.reduceat(data == ord(lead), starts) if len(start) else starts
+            alike = np.flatnonzero(plain & (inside == 1) & (data[starts] == ord(lead)))
+            rest[alike] = False
+            for k in range(0, len(alike), 500):
+                some = alike[k : k + 500]
+                text = b"".join([data[x:y].tobytes() for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+                groups.append((table, some, text.decode("utf-8", "replace")))
+        made, n = [], 0
+        for (table, some, _), ids in zip(groups, self.library([g[2] for g in groups]), strict=True):
+            place = np.flatnonzero(table[ids])
+            if len(place) != len(some) or place[0]:
+                rest[some] = True
+                continue
+            begin[some], size[some] = place + n, np.diff(np.append(place, len(ids)))
+            made.append(ids)
+            n += len(ids)
+        alone = np.flatnonzero(rest)
+        for k, ids in zip(alone.tolist(), self.library([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]), strict=True):
+            begin[k], size[k] = n, len(ids)
+            made.append(ids)
+            n += len(ids)
+        return np.concatenate([np.empty(0, np.uint32), *made]), begin, size
