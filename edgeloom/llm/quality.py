@@ -4,11 +4,11 @@ The text view has what the text says (shares of its words, hashed to ``TERMS``
 kinds) and how it looks (shares of characters and
 punctuation, repetition of words and lines, lengths); the metadata view only
 the source, the language and the stated length. Each is a logistic regression.
-They start from the labelled rows; in each round either view labels the
-unlabelled rows that it is surest of for the other one. Afterwards both are
-calibrated on a fourth of the labelled rows, which neither has learned from (labelled rows are never in the
-pool of unlabelled ones), and a regression on
-the two calibrated log-odds gives the score of every document.
+They start from the labelled rows; in each round either view is calibrated and labels the
+unlabelled rows that it is surest of for the other one. In the end a regression on
+the two calibrated log-odds gives the score of every document. Calibration is
+on a fourth of the labelled rows, which neither view learns from (labelled rows are never in the
+pool of unlabelled ones).
 
 Training takes about ``wanted`` rows of each label and ``pool`` unlabelled
 rows (documented bounds), whole texts of any length;
@@ -134,8 +134,11 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
     own = {v: (x[train], y[train]) for v, (x, _) in views.items()}
     free = np.ones(len(pool_text), bool)
+    rest = kept if kept.any() else train
     for _ in range(rounds):
         models = {v: View().fit(*own[v]) for v in views}
+        for v, (x, _) in views.items():  # a view that knows little is sure of nothing
+            models[v].calibrate(x[rest], y[rest])
         for giver, taker in (("text", "meta"), ("meta", "text")):
             if not free.any():
                 break
@@ -148,7 +151,6 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
                     x, old = own[taker]
                     own[taker] = np.vstack([x, views[taker][1][best]]), np.concatenate([old, np.full(len(best), label)])
     models = {v: View().fit(*own[v]) for v in views}
-    rest = kept if kept.any() else train
     for v, (x, _) in views.items():
         models[v].calibrate(x[rest], y[rest])
     both = np.column_stack([models[v].logit(views[v][0][rest]) for v in ("text", "meta")])

@@ -124,3 +124,23 @@ def test_kernel_against_sets():
     want = (k @ alpha).argmax(1)
     names, _ = model.predict(texts)
     assert [model.languages[w] for w in want] == names
+
+
+def test_exchange_teaches_the_other_view():
+    """Few labels, a metadata view that knows well, a text view that needs many examples."""
+    rng = np.random.default_rng(0)
+
+    def rows(n):
+        y = rng.integers(0, 2, n).astype(float)
+        return rng.normal(0, 1, (n, 60)) + 0.15 * (2 * y[:, None] - 1), np.column_stack([y + rng.normal(0, 0.1, n), rng.normal(0, 1, n)]), y
+
+    (x, m, y), (px, pm, _), (tx, tm, ty) = rows(40), rows(2000), rows(2000)
+    right = {}
+    for rounds in (0, quality.ROUNDS):
+        model = quality.co_train(x, m, y, px, pm, rounds)
+        right[rounds] = ((model.score(tx, tm)[1] >= 0.5) == ty).mean()
+    assert right[quality.ROUNDS] > right[0] + 0.01, right
+    # a metadata view that knows nothing gives no labels away
+    noise = [rng.normal(0, 1, (len(a), 2)) for a in (x, px)]
+    with_noise = quality.co_train(x, noise[0], y, px, noise[1])
+    assert (((with_noise.score(tx, rng.normal(0, 1, (len(tx), 2)))[1]) >= 0.5) == ty).mean() > right[0] - 0.03

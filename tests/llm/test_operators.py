@@ -112,3 +112,28 @@ def test_fingerprints_of_null_keys(spark):
     out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in out) == sorted((i or 0, len(t)) for i, t in rows)
     assert all(r.edited_sha256 and r.fingerprint is not None for r in out)
+
+
+def test_only_chosen_paths(spark):
+    """A broom: a chain of 100 messages, each with an answer of its own; and a cycle beside it."""
+    rows = [(1, i, i - 1 if i else None, "user", "t", 0.0) for i in range(100)] + [(1, 1000 + i, i, "assistant", "t", float(i == 70)) for i in range(100)]
+    rows += [(1, 5000, 5001, "user", "c", 9.0), (1, 5001, 5000, "user", "c", 9.0), (1, 5002, 5001, "user", "c", 9.0)]
+    df = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
+    nodes = reply_trees.tree(df, "conv_id", "node", "parent", "role", "text", "score")
+    levels = reply_trees.jumps(nodes)
+    steps = reply_trees.paths(reply_trees.best_leaves(levels, 1), levels).collect()
+    assert len(steps) == 72 and {r.leaf for r in steps} == {1070} and sorted(r.up for r in steps) == list(range(72))
+    two = reply_trees.chat_format(df, score="score", n_best=2).collect()
+    assert sorted((r.place, r.leaf) for r in two) == [(0, 1070), (1, 1099)]
+    assert reply_trees.chat_format(df, n_best=None).count() == 100
+
+
+def test_large_and_null_items(spark):
+    words = [f"q{i}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (None, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[40:60]) + " a b"), (3, "a b")], "doc_id long, text string")
+    want = {1: (100, 100, ["1"]), 2: (23, 22, ["", "1"]), 3: (2, 2, [""])}
+    for block in (7, 1000):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, block_windows=block).collect()}
+        assert got == want
+    assert [n for _, n in decontaminate.item_parts(" ".join(words), 13, 7)] == [7] * 12 + [4]
