@@ -363,9 +363,9 @@ class _Found:
         met = self._meeting(texts)
 
         # each against the pivots of its buckets; then all that lie in different components of one
-        found = cut(self._align(self._pivot_pairs(met, texts, similarity), base, texts, similarity), "links")
+        found = self._align(self._pivot_pairs(met, texts, similarity), base, texts, similarity)
         labels = components(found)
-        rest = cut(self._align(self._between(met, texts, labels, similarity), base, texts, similarity), "links")
+        rest = self._align(self._between(met, texts, labels, similarity), base, texts, similarity)
         self.links = found.unionByName(rest)
         if not rest.isEmpty():
             labels = components(self.links)
@@ -394,8 +394,10 @@ class _Found:
         pairs = met.select("bucket", F.col("t").alias("a")).join(pivots.hint("merge"), "bucket").filter("a <> b").select("a", "b").distinct()
         of = lambda c: texts.select(F.col("t").alias(c), F.struct("n_words", "signature").alias(f"{c}_text"))
         pairs = cut(pairs, "pivot-pairs")
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
-        return cut(pairs.select("a", "b"), "candidates")
+        near = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
+        near = cut(near.select("a", "b"), "candidates")
+        remove(meets, pivots, pairs)
+        return near
 
     @staticmethod
     def _between(met: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -407,17 +409,18 @@ class _Found:
         step = max(-math.log(similarity), 1e-3) * 1.001
         rows = cut(met.select("bucket", "t").join(labels.withColumnRenamed("node", "t"), "t", "left").select("bucket", "t", F.coalesce("label", "t").alias("label")), "labelled-buckets")
         mixed = cut(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
-        rows = rows.join(mixed.hint("merge"), "bucket", "left_semi")
         of = F.struct("t", "label", "n_words", "signature")
-        x = cut(rows.join(texts.select("t", "n_words", "signature"), "t").select("bucket", F.floor(F.log("n_words") / step).alias("size"), of.alias("x")), "mixed")
+        x = cut(rows.join(mixed.hint("merge"), "bucket", "left_semi").join(texts.select("t", "n_words", "signature"), "t").select("bucket", F.floor(F.log("n_words") / step).alias("size"), of.alias("x")), "mixed")
         y = x.select("bucket", F.inline(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))), F.col("x").alias("y"))
         apart = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.t") < F.col("y.t")))
         pairs = x.join(y.hint("merge"), ["bucket", "size"]).filter(apart & may_be_near("x", "y", similarity))
-        return cut(pairs.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct(), "between")
+        pairs = cut(pairs.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct(), "between")
+        remove(rows, mixed, x)
+        return pairs
 
     @staticmethod
     def _align(pairs: DataFrame, base: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-        """The pairs that are near. The words of ``b``, which many pairs may have in common, are joined last."""
+        """The pairs that are near, written; ``pairs`` goes. The words of ``b``, which many pairs may have in common, are joined last."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().join(texts.select("t", "id", "h1", "h2"), "t")
         needed = needed.withColumnsRenamed({"id": "rep", "h1": "g1", "h2": "g2"}).hint("merge")
         whole = base.join(needed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("rep")))
@@ -427,7 +430,9 @@ class _Found:
             .join(words.select(F.col("t").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
             .select("a", "b", "x", "y")
         )
-        return both.mapInArrow(_aligned(similarity), "a long, b long")
+        found = cut(both.mapInArrow(_aligned(similarity), "a long, b long"), "links")
+        remove(words, pairs)
+        return found
 
     def classes(self) -> DataFrame:
         """id, h1, h2, class_id, keep, rep_id of every row."""
