@@ -9,6 +9,9 @@ is part of the sparser ones' next denser one. The subsets are the same for every
 document's terms in the lexicon is hashed, however many they are: a short document has something in the
 dense subsets, a long one still has few terms, which may outlast an edit, in the sparse ones.
 
+A fingerprint is 8 bytes of the hash of all terms, then 2 of each subset's hash (0 for an empty subset,
+never for another), shown in hexadecimal digits; between the steps it is kept as bytes.
+
 Two documents are as alike as the share of equal hashes among the subsets of one
 density that are not empty in both, at that density where it is greatest; only densities count at which
 at least half of the subsets are not empty, and always the greatest density.
@@ -32,7 +35,7 @@ from edgeloom.llm.common import cut, ranked
 
 SUBSETS = 16
 DENSITIES = (1, 3, 5, 7, 9, 11)
-HEX = 5
+BYTES = 2
 
 
 def terms(text: Column) -> Column:
@@ -84,36 +87,45 @@ def fit_lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, text: st
 
 
 def _hex(x: Column, digits: int) -> Column:
-    return F.lower(F.right(F.concat(F.lit("0" * digits), F.hex(x)), F.lit(digits)))
+    return F.right(F.concat(F.lit("0" * digits), F.hex(x)), F.lit(digits))
+
+
+def shown(fingerprint: Column) -> Column:
+    return F.lower(F.hex(fingerprint))
 
 
 def with_fingerprint(docs: DataFrame, lexicon: Lexicon, text: str, out: str) -> DataFrame:
-    """Adds ``out``, the fingerprint of ``text`` (not null): the hash of all terms, then
-    for each density those of the subsets (nothing for an empty one)."""
+    """Adds ``out``, the fingerprint of ``text`` (not null) as bytes."""
     rows = docs.withColumn("_all", terms(F.col(text)))
     rows = rows.withColumn("_own", F.filter("_all", lexicon.has))
     rows = rows.withColumn("_own", F.sort_array(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_all"))))
     # a number for each term and subset, whose low bits say up to which density it is in
     numbers = lambda r: F.transform("_own", lambda h: F.xxhash64(h, r))
     rows = rows.withColumn("_in", F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda r: F.filter(numbers(r), lambda g: g.bitwiseAND((1 << DENSITIES[0]) - 1) == 0)))
+    digits = 2 * BYTES
+    short = lambda a: F.greatest(F.xxhash64(a).bitwiseAND((1 << 8 * BYTES) - 1), F.lit(1))
     for k, d in enumerate(DENSITIES):
         if k:
             keep = (1 << d) - 1
             rows = rows.withColumn("_in", F.transform("_in", lambda a: F.filter(a, lambda g: g.bitwiseAND(keep) == 0)))  # noqa: B023
-        rows = rows.withColumn(f"_{d}", F.array_join(F.transform("_in", lambda a: F.when(F.size(a) == 0, F.lit("")).otherwise(_hex(F.xxhash64(a), HEX))), "."))
+        rows = rows.withColumn(f"_{d}", F.array_join(F.transform("_in", lambda a: F.when(F.size(a) == 0, F.lit("0" * digits)).otherwise(_hex(short(a), digits))), ""))
     whole = F.when(F.size("_all") > 0, F.xxhash64("_own")).otherwise(F.xxhash64(F.lit("text"), F.col(text)))
-    made = F.concat_ws("|", _hex(whole, 16), *(f"_{d}" for d in DENSITIES))
-    return rows.withColumn(out, made).drop("_all", "_own", "_in", *(f"_{d}" for d in DENSITIES))
+    made = F.unhex(F.concat(_hex(whole, 16), *(f"_{d}" for d in DENSITIES)))
+    # a generated column is evaluated once and never put into the functions that read it
+    return rows.select(*docs.columns, F.explode(F.array(made)).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The greatest share of equal subset hashes at one density; 1 for equal fingerprints."""
+    """The greatest share of equal subset hashes at one density; 1 for equal fingerprints (as bytes)."""
+    digits, none = 2 * BYTES, "0" * (2 * BYTES)
+    parts = lambda x: F.regexp_extract_all(F.hex(x), F.lit("." * digits), F.lit(0))
+    zipped = F.arrays_zip(parts(a).alias("l"), parts(b).alias("r"))
 
     def share(i: int) -> Column:
-        hashes = lambda x: F.split(F.split_part(x, F.lit("|"), F.lit(i + 2)), "\\.")
-        pairs = F.filter(F.arrays_zip(hashes(a).alias("l"), hashes(b).alias("r")), lambda z: (z["l"] != "") | (z["r"] != ""))
-        same = F.size(F.filter(pairs, lambda z: z["l"] == z["r"]))
-        return F.when(F.size(pairs) >= (SUBSETS // 2 if i else 1), same / F.size(pairs)).otherwise(F.lit(0.0))
+        pairs = F.slice(zipped, 16 // digits + 1 + i * SUBSETS, SUBSETS)
+        some = F.filter(pairs, lambda z: (z["l"] != none) | (z["r"] != none))
+        same = F.size(F.filter(some, lambda z: z["l"] == z["r"]))
+        return F.when(F.size(some) >= (SUBSETS // 2 if i else 1), same / F.size(some)).otherwise(F.lit(0.0))
 
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*(share(i) for i in range(len(DENSITIES)))))
 
@@ -121,7 +133,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, fingerprint of every row."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_fingerprint(rows, lexicon or fit_lexicon(rows), "text", "fingerprint").select(key, "fingerprint")
+    return with_fingerprint(rows, lexicon or fit_lexicon(rows), "text", "_f").select(key, shown(F.col("_f")).alias("fingerprint"))
 
 
 def _same(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -165,8 +177,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
         F.col("id").alias(key),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
+        shown(F.col("fingerprint")).alias("fingerprint"),
+        shown(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
