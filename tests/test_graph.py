@@ -115,15 +115,16 @@ def test_prefixes(spark):
     assert [r.i for r in got] == sorted(range(20), key=lambda i: (i % 3, i))
 
 
-def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
-    assert shared_dir(spark).startswith("file:")
-
-    class Elsewhere:
-        conf = spark.conf
-        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
-
-    with pytest.raises(ValueError):
-        shared_dir(Elsewhere)
+def test_no_machine_local_folder_on_a_cluster():
+    def session(master, **settings):
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: settings.get(key.rpartition(".")[2], default))})
+        return type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": master})})
+
+    assert shared_dir(session("local[8]")).startswith("file:")
+    assert shared_dir(session("yarn", dir="hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
 
 
 def test_empty_graph(spark):
