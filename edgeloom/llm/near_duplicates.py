@@ -63,7 +63,7 @@ FEW_SKETCHES = 32
 FEW_WORDS = 75
 MOST_KEYS = 2000  # of a short text
 PIVOTS = 2  # tried first; what they leave apart is tried after
-PARITIES = 8
+PARITIES = 32
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -213,16 +213,21 @@ class Sketched:
         self.signature = np.packbits(whole, axis=1).reshape(n, -1, 8).view("<i8").reshape(n, -1) if n else np.empty((0, PARITIES + 4), np.int64)
 
 
+def traits() -> list[Column]:
+    """n_words and the numbers of the signature as columns s0, s1, ..."""
+    return [F.col("n_words"), *(F.col("signature")[i].alias(f"s{i}") for i in range(PARITIES + 4))]
+
+
 def may_be_near(a: str, b: str, similarity: float) -> Column:
-    """Whether two texts (structs with n_words and signature) pass the tests before alignment."""
-    n, m, x, y = F.col(f"{a}.n_words"), F.col(f"{b}.n_words"), F.col(f"{a}.signature"), F.col(f"{b}.signature")
+    """Whether two texts (structs with their traits) pass the tests before alignment."""
+    n, m = F.col(f"{a}.n_words"), F.col(f"{b}.n_words")
+    apart = [F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")) for i in range(PARITIES + 4)]
     most = F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
-    odd = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITIES)), F.lit(0))
-    planes = SKETCHES * PICK // 64
-    low, high = range(PARITIES, PARITIES + planes), range(PARITIES + planes, PARITIES + 2 * planes)
-    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseOR(x[j].bitwiseXOR(y[j]))) for i, j in zip(low, high, strict=True)), F.lit(0))
+    odd = sum((F.bit_count(x) for x in apart[:PARITIES]), F.lit(0))
+    low, high = apart[PARITIES : PARITIES + 2], apart[PARITIES + 2 :]
+    differ = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(low, high, strict=True)), F.lit(0))
     share = similarity / (2 - similarity)  # of two near texts' labelled words at least these are in both
-    return (F.abs(n - m) <= most) & (odd <= 2 * most) & (differ <= most_differ(share))
+    return (F.abs(n - m) <= most) & (differ <= most_differ(share)) & (odd <= 2 * most)
 
 
 def most_differ(share: float) -> int:
@@ -397,7 +402,7 @@ class _Found:
         shared = pairs.select("a", "b").repartition("a").groupBy("a", "b").agg(F.count("*").alias("n"))
         best = W.partitionBy("a").orderBy(F.desc("n"), "b")  # as many rows as a text has keys at most
         pairs = shared.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("a", "b")
-        of = lambda c: texts.select(F.col("t").alias(c), F.struct("n_words", "signature").alias(f"{c}_text"))
+        of = lambda c: texts.select(F.col("t").alias(c), F.struct(*traits()).alias(f"{c}_text"))
         pairs = cut(pairs, "pivot-pairs")
         near = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
         near = cut(near.select("a", "b"), "candidates")
@@ -414,7 +419,7 @@ class _Found:
         step = max(-math.log(similarity), 1e-3) * 1.001
         rows = cut(met.select("bucket", "t").join(labels.withColumnRenamed("node", "t"), "t", "left").select("bucket", "t", F.coalesce("label", "t").alias("label")), "labelled-buckets")
         mixed = cut(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
-        of = F.struct("t", "label", "n_words", "signature")
+        of = F.struct("t", "label", *traits())
         x = cut(rows.join(mixed.hint("merge"), "bucket", "left_semi").join(texts.select("t", "n_words", "signature"), "t").select("bucket", F.floor(F.log("n_words") / step).alias("size"), of.alias("x")), "mixed")
         y = x.select("bucket", F.inline(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))), F.col("x").alias("y"))
         apart = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.t") < F.col("y.t")))
