@@ -151,7 +151,7 @@ def fit(rows: list[tuple[np.ndarray, str]], orders: int, landmarks: int, ridge:
 def train(docs: DataFrame, orders: int = 4, per_language: int = 400, most: int = 20_000, landmarks: int = 256, ridge: float = 1.0, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Learns from the rows of ``docs`` with a language: about ``per_language`` of each, and
     about ``most`` together where there are very many languages (but one of each)."""
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     wanted = max(1, min(per_language, most // max(1, languages)))
