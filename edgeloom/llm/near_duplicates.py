@@ -13,7 +13,7 @@ such texts that are near always meet.
 
 Equal texts form one class first. In each bucket of equal sketches every text is
 then held against the bucket's pivot, the text that meets most others in all of its
-buckets, which for edited copies is what they are copies of; of several pivots the ``PIVOTS`` with which it shares most buckets. After that all pairs
+buckets, which for edited copies is what they are copies of. After that all pairs
 that still lie in different components of a bucket are tried: the classes hold
 every near pair that shares a sketch, though not every pair is aligned. Pairs that can't be near by
 their numbers of words, by the parities of their words' counts in ``64 *
@@ -47,7 +47,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import Words, filled, mix, slices
@@ -62,7 +61,6 @@ FEW_K = 3
 FEW_SKETCHES = 32
 FEW_WORDS = 75
 MOST_KEYS = 2000  # of a short text
-PIVOTS = 2  # tried first; what they leave apart is tried after
 PARITIES = 32
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -394,14 +392,12 @@ class _Found:
 
     @staticmethod
     def _pivot_pairs(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-        """a, b: each text and its first pivots, if they may be near."""
+        """a, b: each text and the pivots of its buckets, if they may be near."""
         meets = cut(met.groupBy("t").agg(F.sum("n").alias("meets")), "meetings")
         ranked = met.select("bucket", "t").join(meets.hint("merge"), "t")
         pivots = cut(ranked.groupBy("bucket").agg(F.max(F.struct("meets", "t")).alias("p")).select("bucket", F.col("p.t").alias("b")), "pivots")
         pairs = met.select("bucket", F.col("t").alias("a")).join(pivots.hint("merge"), "bucket").filter("a <> b")
-        shared = pairs.select("a", "b").repartition("a").groupBy("a", "b").agg(F.count("*").alias("n"))
-        best = W.partitionBy("a").orderBy(F.desc("n"), "b")  # as many rows as a text has keys at most
-        pairs = shared.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("a", "b")
+        pairs = pairs.select("a", "b").distinct()
         of = lambda c: texts.select(F.col("t").alias(c), F.struct(*traits()).alias(f"{c}_text"))
         pairs = cut(pairs, "pivot-pairs")
         near = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
