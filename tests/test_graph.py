@@ -2,9 +2,11 @@ import json
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom.operators import blocks as B
 from edgeloom.operators import model as M
 from edgeloom.operators import triangles as T
 from edgeloom.operators import truss as K
@@ -190,3 +192,40 @@ def test_whole_graph_against_plain_peel(spark):
         assert got == sorted(con.execute(sql).fetchall()), name
     plain = {n for n in queries() if not n.endswith(("_part_order", "_orders", "_users"))}
     assert {f"{n}_part_order" for n in plain} <= set(queries())
+
+
+def test_blocks_and_components_of_any_size(spark):
+    """Many small blocks, ids far apart, several components; each method by components, without stored triangles and by rounds."""
+    rng = random.Random(11)
+    far = 1 << 55
+    edges = [(a * far - 7 * far, b * far - 7 * far) for a, b in complete(*range(14)) if rng.random() < 0.6]
+    for at in (100, 200):
+        edges += [(a + at, b + at) for a, b in complete(*range(16)) if rng.random() < 0.5]
+    edges += [(900, 901), (901, 902)]
+    want = plain_peel(edges)
+    df = frame(spark, edges)
+    near = set(edges)
+    found = sorted((a, b, c) for a, b in edges for x, c in edges if x == b and (a, c) in near)
+    for block in (3, 10_000):
+        packed = B.Packed(df.repartition(5), block)
+        assert sorted(tuple(r) for r in packed.triangles().collect()) == found
+        sup = {(r.u, r.v): (r.eid, r.sup) for r in packed.supports().collect()}
+        assert [sup[e][0] for e in sorted(edges)] == list(range(len(edges)))
+        assert all(s == sum(e in ((a, b), (a, c), (b, c)) for a, b, c in found) for e, (_, s) in sup.items())
+    assert sorted(tuple(r) for r in T.triangles_unordered(df).collect()) == found
+    for method in ("hindex", "wedge", "multi_k"):
+        assert values(K.truss(df, method, chunk=2)) == want, method
+    (whole, history), (mixed, again) = K.peel(df), K.peel(df, 56)  # one of the three is larger
+    assert values(whole) == values(mixed) == want and history == again
+    for method in ("wedge", "multi_k"):
+        assert set(values(K.truss(frame(spark, complete(0, 1, 2, 3) + [(3, 4)]), method, one_task=0)).values()) == {0, 2}
+    u, v = (np.array(c) for c in zip(*sorted(edges), strict=True))
+    k, batch = K._peel_lists(u, v)
+    assert dict(zip(sorted(edges), k.tolist(), strict=True)) == want
+    assert (K._peel_stored(len(u), K._stored(u, v))[1] == batch).all()
+
+
+def test_triangles_shuffle_no_wedges(spark):
+    """No join of wedges is in the plan, so nothing grows with them."""
+    for made in (T.triangles, T.support, T.triangles_unordered):
+        assert "Join" not in made(frame(spark, complete(*range(9))))._jdf.queryExecution().toString(), made
