@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.plans.materialize import cut, new_path
 from edgeloom.plans.materialize import drop as remove
 
-__all__ = ["cut", "held_out", "keep_rows", "new_path", "ranked", "remove", "share", "table", "training_rows", "within_bytes"]
+__all__ = ["cut", "held_out", "keep_rows", "new_path", "ranked", "release", "remove", "rows_at_once", "share", "table", "training_rows", "within_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,9 +95,29 @@ def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows for which ``decide(batch)``, given and giving arrays, is true; no shuffle."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             yield batch.filter(pa.array(decide(batch), pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
+
+
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within, Spark gives Python at most so many rows at a time: for wide rows, which either side holds several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker waits for its next task beside the others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -16,11 +16,12 @@ then held against the bucket's pivot, the text that meets most others in all of
 buckets, which for edited copies is what they are copies of. After that all pairs
 that still lie in different components of a bucket are tried: the classes hold
 every near pair that shares a sketch, though not every pair is aligned. Pairs that can't be near by
-their numbers of words, by the parities of their words' counts in ``64 *
-PARITIES`` kinds (an edit changes two at most), or by two bits of each of the one-word minima
+their numbers of words, by their words' counts modulo ``2 * TURN`` in ``KINDS``
+kinds (:func:`turned`), or by two bits of each of the one-word minima
 (:func:`most_differ`; a near pair has more that differ in 1 of 500,000 cases) are left
-out before alignment, inside the join, so the join gives few rows even in a
-bucket of a very common passage. A pair is accepted if the edit distance of the
+out before alignment, inside the join, and a pair that shares several such buckets comes
+out of the first of them only, so the join gives few rows even in a
+bucket of a very common passage or line. A pair is accepted if the edit distance of the
 word sequences is at most ``1 - similarity`` of the longer one, found by
 bit-parallel alignment within the band that this distance allows. Components of
 accepted pairs are the classes.
@@ -50,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import Words, filled, mix, slices
-from edgeloom.llm.common import cut, remove
+from edgeloom.llm.common import cut, release, remove, rows_at_once
 from edgeloom.llm.components import components
 
 K = 5
@@ -61,7 +62,13 @@ FEW_K = 3
 FEW_SKETCHES = 32
 FEW_WORDS = 75
 MOST_KEYS = 2000  # of a short text
-PARITIES = 32
+KINDS = 1024
+TURN = 4
+PARITIES = KINDS * TURN // 64  # numbers of 64 bits of a signature for the counts
+AT_ONCE = 1000  # rows of texts that go to Python at once, in pairs or alone
+MOST_BUCKETS = 96  # of a text whose pairs come out of one bucket only
+#: For counts 0, 1, ... modulo ``2 * TURN``: bits that differ in as many places as the counts are apart on this circle.
+_CODE = np.array([[(c - 1 - j) % (2 * TURN) < TURN for j in range(TURN)] for c in range(2 * TURN)], dtype=np.uint8)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -201,16 +208,22 @@ class Sketched:
         for t in few.tolist():
             if 0 < self.n_words[t] <= short_limit(similarity):
                 self.keys[t] = np.concatenate([self.keys[t], short_keys(words[first[t] : first[t + 1]], similarity)])
-        kinds = 64 * PARITIES
-        odd = np.bincount(owner * kinds + (words & np.uint64(kinds - 1)).astype(np.int64), minlength=n * kinds) & 1
+        counts = turned(words, owner, n)
         bits = (mix(one.value.astype(np.uint64)) & np.uint64(3)).astype(np.uint8)
         planes = np.zeros((n, 2 * one.value.shape[1]), np.uint8)
         planes[one.texts] = np.hstack([bits & 1, bits >> 1])
-        whole = np.hstack([odd.astype(np.uint8).reshape(n, kinds), planes])
-        #: Parities, then the lower and the upper bits of the one-word minima, 64 to a number.
+        whole = np.hstack([counts, planes])
+        #: Counts, then the lower and the upper bits of the one-word minima, 64 to a number.
         self.signature = np.packbits(whole, axis=1).reshape(n, -1, 8).view("<i8").reshape(n, -1) if n else np.empty((0, PARITIES + 4), np.int64)
 
 
+def turned(words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts the bits of its counts of words of each kind: two texts differ in at most
+    as many bits as there are words without a partner, that is twice their distance less the difference of their lengths."""
+    counts = np.bincount(owner * KINDS + (words & np.uint64(KINDS - 1)).astype(np.int64), minlength=n * KINDS)
+    return _CODE[counts % (2 * TURN)].reshape(n, KINDS * TURN)
+
+
 def traits() -> list[Column]:
     """n_words and the numbers of the signature as columns s0, s1, ..."""
     return [F.col("n_words"), *(F.col("signature")[i].alias(f"s{i}") for i in range(PARITIES + 4))]
@@ -221,11 +234,11 @@ def may_be_near(a: str, b: str, similarity: float) -> Column:
     n, m = F.col(f"{a}.n_words"), F.col(f"{b}.n_words")
     apart = [F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")) for i in range(PARITIES + 4)]
     most = F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
-    odd = sum((F.bit_count(x) for x in apart[:PARITIES]), F.lit(0))
+    alone = sum((F.bit_count(x) for x in apart[:PARITIES]), F.lit(0))
     low, high = apart[PARITIES : PARITIES + 2], apart[PARITIES + 2 :]
     differ = sum((F.bit_count(x.bitwiseOR(y)) for x, y in zip(low, high, strict=True)), F.lit(0))
     share = similarity / (2 - similarity)  # of two near texts' labelled words at least these are in both
-    return (F.abs(n - m) <= most) & (differ <= most_differ(share)) & (odd <= 2 * most)
+    return (F.abs(n - m) <= most) & (differ <= most_differ(share)) & (alone <= 2 * most - F.abs(n - m))
 
 
 def most_differ(share: float) -> int:
@@ -304,6 +317,7 @@ def _sketch_rows(similarity: float):
                 s = Sketched(w.hash, w.first, similarity)
                 kept = [x[at:end] if len(x) != end - at else x for x in batch.columns[:3]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(s.n_words, pa.int32()), _lists(list(s.signature)), _lists(s.keys)], ["id", "h1", "h2", "n_words", "signature", "keys"])
+        release()
 
     return run
 
@@ -323,6 +337,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = w.hash.astype("<u4")
             out += [low[w.first[k] : w.first[k + 1]].tobytes() for k in range(end - at)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["t", "words"])
+    release()
 
 
 def _aligned(similarity: float):
@@ -334,6 +349,7 @@ def _aligned(similarity: float):
                 most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
                 keep.append(_bag_distance(a, b) <= most and banded_distance(a.tolist(), b.tolist(), most) is not None)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 
@@ -357,7 +373,8 @@ class _Found:
         base = base.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
         kind = base.schema["id"].dataType.simpleString()
         made = base.mapInArrow(_sketch_rows(similarity), f"id {kind}, h1 long, h2 long, n_words int, signature array<long>, keys array<long>")
-        made = cut(made.withColumn("r", F.monotonically_increasing_id()), "sketches")
+        with rows_at_once(docs.sparkSession, AT_ONCE):
+            made = cut(made.withColumn("r", F.monotonically_increasing_id()), "sketches")
 
         # equal texts: one representative, the row of the smallest id
         smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m")
@@ -399,8 +416,8 @@ class _Found:
         pairs = met.select("bucket", F.col("t").alias("a")).join(pivots.hint("merge"), "bucket").filter("a <> b")
         pairs = pairs.select("a", "b").distinct()
         of = lambda c: texts.select(F.col("t").alias(c), F.struct(*traits()).alias(f"{c}_text"))
-        pairs = cut(pairs, "pivot-pairs")
-        near = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
+        pairs = cut(pairs.groupBy("a").agg(F.collect_list("b").alias("pivots")), "pivot-pairs")  # no more than a text has buckets
+        near = pairs.join(of("a"), "a").select("a", "a_text", F.explode("pivots").alias("b")).join(of("b"), "b").filter(may_be_near("a_text", "b_text", similarity))
         near = cut(near.select("a", "b"), "candidates")
         remove(meets, pivots, pairs)
         return near
@@ -410,16 +427,20 @@ class _Found:
         """a, b: pairs that share a bucket, lie in different components and may be near.
 
         Texts meet by bucket and by number of words on a scale where those of
-        near texts are at most one step apart.
+        near texts are at most one step apart. Each has its smaller buckets with it, so that a pair
+        comes only from the smallest it shares (from all, if a text has over ``MOST_BUCKETS``).
         """
         step = max(-math.log(similarity), 1e-3) * 1.001
         rows = cut(met.select("bucket", "t").join(labels.withColumnRenamed("node", "t"), "t", "left").select("bucket", "t", F.coalesce("label", "t").alias("label")), "labelled-buckets")
         mixed = cut(rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket"), "mixed-buckets")
-        of = F.struct("t", "label", *traits())
-        x = cut(rows.join(mixed.hint("merge"), "bucket", "left_semi").join(texts.select("t", "n_words", "signature"), "t").select("bucket", F.floor(F.log("n_words") / step).alias("size"), of.alias("x")), "mixed")
+        own = rows.join(mixed.hint("merge"), "bucket", "left_semi").groupBy("t", "label").agg(F.sort_array(F.collect_list("bucket")).alias("own"))
+        at = own.join(texts.select("t", "n_words", "signature").hint("merge"), "t").select("*", F.posexplode("own").alias("pos", "bucket"))
+        before = F.when(F.size("own") <= MOST_BUCKETS, F.slice("own", F.lit(1), F.col("pos"))).alias("before")
+        x = cut(at.select("bucket", F.floor(F.log("n_words") / step).alias("size"), F.struct("t", "label", *traits(), before).alias("x")), "mixed")
         y = x.select("bucket", F.inline(F.array(F.struct("size", F.lit(False).alias("longer")), F.struct((F.col("size") - 1).alias("size"), F.lit(True).alias("longer")))), F.col("x").alias("y"))
         apart = (F.col("x.label") != F.col("y.label")) & (F.col("longer") | (F.col("x.t") < F.col("y.t")))
-        pairs = x.join(y.hint("merge"), ["bucket", "size"]).filter(apart & may_be_near("x", "y", similarity))
+        first = F.coalesce(~F.arrays_overlap("x.before", "y.before"), F.lit(True))
+        pairs = x.join(y.hint("merge"), ["bucket", "size"]).filter(apart & may_be_near("x", "y", similarity) & first)
         pairs = cut(pairs.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct(), "between")
         remove(rows, mixed, x)
         return pairs
@@ -430,13 +451,15 @@ class _Found:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().join(texts.select("t", "id", "h1", "h2"), "t")
         needed = needed.withColumnsRenamed({"id": "rep", "h1": "g1", "h2": "g2"}).hint("merge")
         whole = base.join(needed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("rep")))
-        words = cut(whole.select("t", "text").mapInArrow(_word_rows, "t long, words binary").dropDuplicates(["t"]), "words")
+        with rows_at_once(base.sparkSession, AT_ONCE):
+            words = cut(whole.select("t", "text").mapInArrow(_word_rows, "t long, words binary").dropDuplicates(["t"]), "words")
         both = (
             pairs.join(words.select(F.col("t").alias("a"), F.col("words").alias("x")).hint("merge"), "a")
             .join(words.select(F.col("t").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
             .select("a", "b", "x", "y")
         )
-        found = cut(both.mapInArrow(_aligned(similarity), "a long, b long"), "links")
+        with rows_at_once(base.sparkSession, AT_ONCE):
+            found = cut(both.mapInArrow(_aligned(similarity), "a long, b long"), "links")
         remove(words, pairs)
         return found
 

@@ -159,3 +159,51 @@ def test_components(spark):
     assert {r.node for r in rows} == set(up) and len(rows) == len(up)
     assert len({(find(r.node), r.label) for r in rows}) == len({find(x) for x in up}) == len({r.label for r in rows})
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_counts_tell_apart_what_parities_do_not(spark):
+    """Words that one text has three times and the other once, or twice and not at all."""
+    shared, p, q = ([f"{x}{i}" for i in range(n)] for x, n in (("s", 60), ("p", 40), ("q", 40)))
+    near = shared + p * 3
+    texts = [" ".join(t) for t in (near, shared + p + q * 2, near[:-30], near[:-37])]
+    w = Words(pa.array(texts), 0, len(texts))
+    s = N.Sketched(w.hash, w.first)
+    rows = [(i, int(n), [int(x) for x in sig]) for i, (n, sig) in enumerate(zip(s.n_words, s.signature, strict=True))]
+    df = spark.createDataFrame(rows, "i int, n_words int, signature array<long>")
+    of = lambda c: df.select(N.F.col("i").alias(f"{c}_i"), N.F.struct(*N.traits()).alias(c))
+    passed = {(r.a_i, r.b_i) for r in of("a").crossJoin(of("b")).filter("a_i < b_i").filter(N.may_be_near("a", "b", 0.8)).collect()}
+    assert passed == {(0, 2), (2, 3)}  # 30 and 7 of at most 36 and 30; 37 are too many
+
+
+def test_a_line_that_fills_many_texts(spark, monkeypatch):
+    """Texts that are mostly one line: many buckets in common, few near pairs, all of which come from the second round."""
+    rng = random.Random(3)
+    texts = ["is onhe " * 90 + " ".join(f"o{rng.randrange(400)}" for _ in range(rng.randrange(36, 60))) for _ in range(60)]
+    texts += [" ".join(t.split()[:-4] + ["z", "y"]) for t in texts[:5]]
+    own = [t.split() for t in texts]
+    up = list(range(len(texts)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if N.banded_distance(a, b, most) is not None:
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(texts))}
+    monkeypatch.setattr(N._Found, "_pivot_pairs", staticmethod(lambda met, texts, similarity: texts.sparkSession.createDataFrame([], "a long, b long")))  # all is left to the second round
+    assert classes(table(spark, list(enumerate(texts)))) == want and len(set(want.values())) < len(texts)
+
+
+def test_components_end_in_one_task(spark):
+    """By rounds, after some rounds and at once: the same groups."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    told = []
+    for most in (0, 100, 10_000):
+        groups = {}
+        for r in components(df, one_task=most).collect():
+            groups.setdefault(r.label, set()).add(r.node)
+        assert all(label in group for label, group in groups.items())
+        told.append(sorted(map(sorted, groups.values())))
+    assert told[0] == told[1] == told[2]
