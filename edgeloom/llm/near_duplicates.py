@@ -448,7 +448,7 @@ class _Found:
     @staticmethod
     def _align(pairs: DataFrame, base: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         """The pairs that are near, written; ``pairs`` goes. The words of ``b``, which many pairs may have in common, are joined last."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().join(texts.select("t", "id", "h1", "h2"), "t")
+        needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct().join(texts.select("t", "id", "h1", "h2"), "t")
         needed = needed.withColumnsRenamed({"id": "rep", "h1": "g1", "h2": "g2"}).hint("merge")
         whole = base.join(needed, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("rep")))
         with rows_at_once(base.sparkSession, AT_ONCE):
