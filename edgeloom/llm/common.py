@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from edgeloom.plans.materialize import cut, new_path
 from edgeloom.plans.materialize import drop as remove
 
-__all__ = ["cut", "held_out", "keep_rows", "new_path", "ranked", "release", "remove", "rows_at_once", "share", "table", "training_rows", "within_bytes"]
+__all__ = ["cut", "held_out", "keep_rows", "kept", "new_path", "ranked", "release", "remove", "rows_at_once", "share", "table", "training_rows", "within_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,19 @@ def rows_at_once(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make: Callable):
+    """A Python worker's model, made once for all its tasks. Only the one last asked for stays: workers
+    outlive a stage, and the models of the stages before would stand beside it."""
+    if name not in _kept:
+        _kept.clear()
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def release() -> None:
     """Gives freed memory back to the system: a Python worker waits for its next task beside the others of its executor."""
     pa.default_memory_pool().release_unused()

@@ -34,12 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from edgeloom.llm.bytewords import filled, offsets_of, slices
+from edgeloom.llm.common import kept, release
 from edgeloom.llm.word_cache import PartCache
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 NEVER = float("-inf")
+#: Bytes of texts encoded, and decoded again, at a time (a longer text is done alone); steps remembered.
+AT_ONCE = 1 << 20
+PAIRS = 500_000
 #: The library's penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
 
@@ -106,7 +110,7 @@ class Pieces:
 
     def _merges(self, a: int, b: int) -> float:
         """Score of a step from piece ``a`` to piece ``b`` of a BPE model."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         known = self.pairs[a << 32 | b] = 0.0 if self._merged(self.text[a] + self.text[b]) == [a, b] else NEVER
         return known
@@ -185,6 +189,8 @@ class Pieces:
 class PieceCache(PartCache):
     """Parts of texts, or for some models whole texts, encoded by the model."""
 
+    chunk = 1 << 18
+
     def __init__(self, pieces: Pieces) -> None:
         super().__init__(count=False, first_differs=bool(pieces.prefix))
         self.pieces = pieces
@@ -212,14 +218,25 @@ class PieceCache(PartCache):
         return np.array(made, np.uint32), np.cumsum(sizes) - sizes, sizes
 
 
-_models: dict[str, PieceCache] = {}
-
-
 def load(path: str) -> PieceCache:
     """A worker's model, read once."""
-    if path not in _models:
-        _models[path] = PieceCache(Pieces(path))
-    return _models[path]
+    return kept(path, lambda: PieceCache(Pieces(path)))
+
+
+def encoded(model: PieceCache, keys: pa.Array, texts: pa.Array, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`encode`, those of about ``AT_ONCE`` bytes of texts together."""
+    for at, end in slices(texts, AT_ONCE):
+        ids, offsets = model.encode(texts, at, end)
+        data = memoryview(ids.astype("<u4").tobytes())
+        crc = [zlib.crc32(data[a:b]) for a, b in pairwise((4 * offsets).tolist())]
+        same = model.pieces.restored(ids, offsets, texts, at)
+        out = [keys[at:end], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+        names = ["key", "n_ids", "ids_crc32", "round_trip"]
+        if with_ids:
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32), pa.int32())))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(out, names)
+        release()
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -229,18 +246,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            texts = filled(batch.column(1))
-            for at, end in slices(texts, 4 << 20):
-                ids, offsets = model.encode(texts, at, end)
-                data = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(data[a:b]) for a, b in pairwise((4 * offsets).tolist())]
-                same = model.pieces.restored(ids, offsets, texts, at)
-                out = [batch.column(0)[at:end], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-                names = ["key", "n_ids", "ids_crc32", "round_trip"]
-                if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32), pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names)
+            yield from encoded(model, batch.column(0), filled(batch.column(1)), with_ids)
+        release()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import filled, slices
-from edgeloom.llm.common import keep_rows, training_rows, within_bytes
+from edgeloom.llm.common import keep_rows, kept, training_rows, within_bytes
 from edgeloom.llm.linear import logistic, predict
 
 WORD = re.compile(r"[^\W_]+")
@@ -330,16 +330,14 @@ def train(docs: DataFrame, labels: DataFrame, wanted: int = 1500, label: str = "
     return fit([(r["text"] or "", r["label"]) for r in rows.collect()])
 
 
-_models: dict = {}
-
-
 def _model(name: str, shared) -> ToxicityModel:
     """The model of a worker, built once for all its tasks."""
-    if name not in _models:
+
+    def make() -> ToxicityModel:
         entries, clean, weights = shared.value
-        _models.clear()
-        _models[name] = ToxicityModel(Lexicon(entries, clean), weights)
-    return _models[name]
+        return ToxicityModel(Lexicon(entries, clean), weights)
+
+    return kept(name, make)
 
 
 def _scorer(spark: SparkSession, model: ToxicityModel):

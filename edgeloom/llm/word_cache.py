@@ -118,7 +118,7 @@ def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def _hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     """Two hashes of each part of ``raw``."""
     values, out = raw.astype(np.uint64) + np.uint64(1), []
-    for power, back in _power_tables(max(len(raw), CHUNK)):
+    for power, back in _power_tables(len(raw)):
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(values * power[: len(raw)], out=total[1:])
         out.append(mix((total[stop] - total[start]) * back[start]))
@@ -130,6 +130,7 @@ class PartCache:
     not encoded as the same part elsewhere."""
 
     split = True
+    chunk: int | None = None  # bytes hashed at a time, if not CHUNK
 
     def __init__(self, count: bool, first_differs: bool = False) -> None:
         self.count, self.first_differs = count, first_differs
@@ -204,13 +205,15 @@ class PartCache:
         stop = np.append(start[1:], len(raw))
         owner = np.searchsorted(offsets, start, side="right") - 1
         first = start == offsets[owner]
+        chunk = self.chunk or CHUNK
+        _power_tables(chunk)
         k = 0
         while k < len(start):
             if self.used > POOL // 2:
                 self._clear()
-            n = max(k + 1, int(np.searchsorted(stop, start[k] + CHUNK, side="right")))
+            n = max(k + 1, int(np.searchsorted(stop, start[k] + chunk, side="right")))
             base = int(start[k])
-            if n == k + 1 and stop[k] - base > CHUNK:  # one long part
+            if n == k + 1 and stop[k] - base > chunk:  # one long part
                 yield owner[k:n], *self._keep(*self._learn(raw, start[k:n], stop[k:n], first[k:n]))
             else:
                 yield owner[k:n], *self._chunk(raw[base : stop[n - 1]], start[k:n] - base, stop[k:n] - base, first[k:n])

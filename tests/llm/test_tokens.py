@@ -1,4 +1,5 @@
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.llm import packed_ids as P
-from edgeloom.llm import word_cache
+from edgeloom.llm import sentencepieces, toxicity, word_cache
 from edgeloom.llm.sentencepieces import PieceCache, Pieces
 from edgeloom.llm.token_counts import token_counts
 from edgeloom.llm.word_cache import WordCache
@@ -184,3 +185,25 @@ def test_pieces_of_odd_texts():
     for t, a, b, s in zip(texts, offsets, offsets[1:], same):
         assert ids[a:b].tolist() == lib.encode(t), t
         assert s == (cache.pieces.decode(ids[a:b]) == t), t
+
+
+def test_a_worker_keeps_one_model_and_needs_little_beside_it():
+    import tracemalloc
+
+    class Shared:
+        value = ([("bad", False, 1.0)], frozenset(), np.zeros(7))
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    first = toxicity._model("one", Shared)
+    assert toxicity._model("one", Shared) is first
+    gone = weakref.ref(first)
+    del first
+    model = sentencepieces.load(path)
+    assert gone() is None and sentencepieces.load(path) is model
+    texts = pa.array([f"{i} " + "some words of a text " * 500 for i in range(400)])  # about 4 MB
+    model.encode(texts, 0, 1)
+    tracemalloc.start()
+    n = sum(batch.num_rows for batch in sentencepieces.encoded(model, pa.array(range(400)), texts, True))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and most < 60e6
