@@ -431,3 +431,25 @@ def test_sets_of_groups_keep_all_triangles(spark, monkeypatch):
     monkeypatch.setattr(sets, "MOST_EDGES", 3)
     monkeypatch.setattr(sets, "BLOCK", 4)
     assert B.Packed.of_groups(members).sets is None
+
+
+def test_triangles_of_edges_in_one_task(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, share, scale in ((40, 0.3, 1), (60, 0.1, 1 << 40), (12, 1.0, 7), (2, 1.0, 1)):
+        u, v = (np.sort(rng.choice(10 * n, n, replace=False))[x] * scale - 5 * scale for x in np.triu_indices(n, 1))
+        some = rng.random(len(u)) < share
+        u, v = u[some], v[some]
+        edge = {e: i for i, e in enumerate(zip(u.tolist(), v.tolist(), strict=True))}
+        want = {(i, edge[a, w], edge[b, w]) for (a, b), i in edge.items() for w in {y for x, y in edge if x == b} if (a, w) in edge}
+        for listed, asked in ((1 << 14, 1 << 17), (1, 1), (5, 40)):
+            monkeypatch.setattr(B, "LISTED", listed)
+            monkeypatch.setattr(B, "ASKED", asked)
+            got = [tuple(sorted(t)) for s in B.closed_within(u, v) for t in zip(*(x.tolist() for x in s), strict=True)]
+            assert len(got) == len(set(got)) and set(got) == {tuple(sorted(t)) for t in want}
+    assert list(B.closed_within(u[:0], v[:0])) == []
+
+
+def test_two_methods_on_one_component_are_two_tasks(spark):
+    df = frame(spark, complete(0, 1, 2, 3) + [(3, 4)])
+    both = K.truss(df, "peel").unionByName(K.truss(df, "multi_k"))
+    assert len({r[0] for r in both.select(F.spark_partition_id()).collect()}) == 2
