@@ -453,3 +453,20 @@ def test_two_methods_on_one_component_are_two_tasks(spark):
     df = frame(spark, complete(0, 1, 2, 3) + [(3, 4)])
     both = K.truss(df, "peel").unionByName(K.truss(df, "multi_k"))
     assert len({r[0] for r in both.select(F.spark_partition_id()).collect()}) == 2
+
+
+def test_packed_numbers_take_the_bytes_that_they_need():
+    for width in (1, 2, 3, 4, 5, 6, 8):
+        for n in (1, 300):
+            x = np.r_[-5, np.full(n - 1, min((1 << 8 * width) - 6, (1 << 62)))].astype(np.int64)
+            assert (B._large(B._small(x)) == x).all() and (n == 1 or len(B._small(x)) == 16 + n * width)
+
+
+def test_shuffles_are_freed_before_the_filter_of_edges_is_sent(spark, monkeypatch):
+    from edgeloom.operators import sets
+
+    told = []
+    monkeypatch.setattr(sets, "LARGE", 1)
+    monkeypatch.setattr(sets, "free_shuffles", lambda s: told.append(s))
+    members = spark.createDataFrame([(x, g) for g in range(3) for x in (g, g + 5, g + 9)], "x long, k0 long")
+    assert B.Packed.of_groups(members).sets is not None and len(told) == 1
