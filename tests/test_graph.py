@@ -462,6 +462,14 @@ def test_packed_numbers_take_the_bytes_that_they_need():
             assert (B._large(B._small(x)) == x).all() and (n == 1 or len(B._small(x)) == 16 + n * width)
 
 
+def test_sums_of_triangles_by_few_remainders(spark, monkeypatch):
+    df = frame(spark, complete(*range(9)))
+    monkeypatch.setattr(S, "SUMS", 2)
+    assert S.check_triangles(df).first().mismatches == 0
+    monkeypatch.setattr(S, "triangles_unordered", lambda e: T.triangles(e).filter("v > 1").unionByName(T.triangles(e).filter("u = 3 AND v = 4").limit(2)))
+    assert S.check_triangles(df).first().mismatches == 7 + 2
+
+
 def test_shuffles_are_freed_before_the_filter_of_edges_is_sent(spark, monkeypatch):
     from edgeloom.operators import sets
 
