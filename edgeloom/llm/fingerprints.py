@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import cut, ranked
+from edgeloom.plans.materialize import free_shuffles
 
 SUBSETS = 16
 DENSITIES = (1, 3, 5, 7, 9, 11)
@@ -136,12 +137,6 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None, text: str = "t
     return with_fingerprint(rows, lexicon or fit_lexicon(rows), "text", "_f").select(key, shown(F.col("_f")).alias("fingerprint"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``a`` and ``b`` joined by id, which may be null, and text hash."""
-    other = b.withColumnsRenamed({"id": "other_id", "h": "other_h"})
-    return a.join(other, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("h") == F.col("other_h"))).drop("other_id", "other_h")
-
-
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """How fingerprints stand an edit: in each text the last quarter is replaced
     by the beginning of the next document's (ascending ``key``, then text hash).
@@ -149,32 +144,33 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     Only keys, lengths and fingerprints are put in order; texts are dealt out
     once by their key, and the beginnings once more. Rows equal in key and
     text count as one document in the order; null keys are equal and a key of
-    their own.
+    their own: within a struct they can be joined and grouped by alike, so that what is grouped need not be dealt out again.
     """
-    base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = docs.select(F.struct(F.col(key).alias("key")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lexicon = fit_lexicon(base)
     base = base.withColumn("h", F.xxhash64("text"))
     own = with_fingerprint(base, lexicon, "text", "fingerprint")
     own = cut(own.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"), F.max("fingerprint").alias("fingerprint")), "fingerprints")
+    free_shuffles(docs.sparkSession)  # the terms' and the fingerprints', before the texts are dealt out
     order = ranked(own.select("id", "h", "n"), ["id", "h"], "fingerprint-order")
     n = own.count()
     if n:
         before = order.select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"), F.pmod(F.col("rank") + 1, F.lit(n)).alias("rank"))
-        links = _same(order.join(before, "rank"), own.select("id", "h", "fingerprint"))
+        links = order.join(before, "rank").join(own.select("id", "h", "fingerprint"), ["id", "h"])
     else:
         links = own.selectExpr("id", "h", "fingerprint", "id AS to_id", "h AS to_h", "0 AS take")
     links = cut(links.select("id", "h", "to_id", "to_h", "take", F.col("fingerprint").alias("next_fingerprint")), "fingerprint-links")
     heads = (
-        _same(base, links)
+        base.join(links, ["id", "h"])
         .groupBy(F.col("to_id").alias("id"), F.col("to_h").alias("h"))
         .agg(F.max(F.substr("text", F.lit(1), F.col("take"))).alias("head"), F.max("next_fingerprint").alias("next_fingerprint"))
     )
-    rows = _same(_same(base, own), heads)
+    rows = base.join(own, ["id", "h"]).join(heads, ["id", "h"])
     kept = (F.col("n") - F.floor(F.col("n") / 4)).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), kept), "head"))
     rows = with_fingerprint(rows, lexicon, "edited", "edited_fingerprint")
     return rows.select(
-        F.col("id").alias(key),
+        F.col("id.key").alias(key),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         shown(F.col("fingerprint")).alias("fingerprint"),

@@ -83,3 +83,20 @@ def test_long_texts_use_all_their_terms(spark):
     assert a != b and a[:16] != b[:16]
     near = spark.range(1).select(P.likeness(F.unhex(F.lit(a)), F.unhex(F.lit(b))).alias("x"), P.likeness(F.unhex(F.lit(a)), F.unhex(F.lit(c))).alias("y")).first()
     assert near.x > 0.9 and near.y < 0.1
+
+
+def test_edits_deal_out_texts_and_beginnings_once(spark):
+    """Texts for each of their two joins and the beginnings are dealt out, nothing twice; null and repeated keys keep their rows."""
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (None, "i j k l"), (None, "m n o p q"), (2, None)]
+    got = P.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)
+    assert len(dealt) == 2, plan  # beginnings and texts; the small tables are broadcast
+    order = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda r: (r[0], r[1], signed(xxhash.xxh64_intdigest(r[2].encode(), 42))))
+    want = []
+    for i, t in rows:
+        text = t or ""
+        following = order[(order.index((i is not None, i or 0, text)) + 1) % len(order)][2]
+        take = len(text) // 4
+        want.append((i, hashlib.sha256((text[: len(text) - take] + following[:take]).encode()).hexdigest()))
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == Counter(want)
