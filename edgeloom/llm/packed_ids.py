@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.bytewords import filled, slices
-from edgeloom.llm.common import new_path
+from edgeloom.llm.common import kept, new_path, release, rows_at_once
 from edgeloom.llm.word_cache import WordCache, load
 
 MAGIC = b"ELTOKEN2"
@@ -192,13 +192,18 @@ class ShardReader:
 
 Encoder = Callable[[pa.Array, int, int], tuple[np.ndarray, np.ndarray]]
 
-_encoders: dict = {}
+#: Bytes of text encoded at once and hashed at once, and rows that Python gets at once. An executor may have more
+#: workers than cores, as one that has ended a task is not free at once for the next.
+ENCODED, HASHED, ROWS = 1 << 20, 1 << 18, 1000
 
 
 def _encode(path: str, texts: pa.Array, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    if path not in _encoders:
-        _encoders[path] = WordCache(path, count=False)
-    return _encoders[path].encode(texts, at, end)
+    def make() -> WordCache:
+        cache = WordCache(path, count=False)
+        cache.chunk = HASHED
+        return cache
+
+    return kept(f"token ids {path}", make).encode(texts, at, end)
 
 
 def _shard_uri(folder: str, part: int) -> str:
@@ -222,7 +227,7 @@ def write_token_files(docs: DataFrame, folder: str, encode: Encoder, vocabulary:
         own, writer = f"{to}.{uuid.uuid4().hex}", None
         for batch in batches:
             texts, keys = filled(batch.column(1)), batch.column(0)
-            for at, end in slices(texts, 4 << 20):
+            for at, end in slices(texts, ENCODED):
                 if writer is None:
                     system.create_dir(to.rpartition("/")[0], recursive=True)
                     writer = ShardWriter(system.open_output_stream(own), bits)
@@ -237,10 +242,12 @@ def write_token_files(docs: DataFrame, folder: str, encode: Encoder, vocabulary:
                 system.delete_file(to)
             system.move(own, to)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "n_ids"])
+        release()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
-    made = ordered.mapInArrow(write, "part long, n_ids long").collect()  # one row for each shard
+    with rows_at_once(docs.sparkSession, ROWS):
+        made = ordered.mapInArrow(write, "part long, n_ids long").collect()  # one row for each shard
     return sorted((r["part"], r["n_ids"]) for r in made)
 
 
@@ -251,6 +258,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[int, i
     base = np.concatenate([[0], np.cumsum([n for _, n in shards])]).astype(np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("token file reader", lambda: None)  # no encoder stays in the worker
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 reader = ShardReader(_shard_uri(folder, int(parts[k])))

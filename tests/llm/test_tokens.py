@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom.llm import bytewords, common
 from edgeloom.llm import packed_ids as P
 from edgeloom.llm import sentencepieces, toxicity, word_cache
 from edgeloom.llm.sentencepieces import PieceCache, Pieces
@@ -207,3 +208,19 @@ def test_a_worker_keeps_one_model_and_needs_little_beside_it():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 400 and most < 60e6
+
+
+def test_token_files_take_little_memory_and_leave_no_encoder():
+    import tracemalloc
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = pa.array([f"{i} " + "some words of a text " * 500 for i in range(400)])  # about 4 MB
+    P._encode(path, texts, 0, 1)
+    gone = weakref.ref(next(iter(common._kept.values())))
+    tracemalloc.start()
+    n = sum(len(P._encode(path, texts, at, end)[1]) - 1 for at, end in bytewords.slices(texts, P.ENCODED))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and most < 40e6
+    common.kept("another", lambda: None)  # as a reader's task does
+    assert gone() is None
