@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,3 +479,42 @@ def test_shuffles_are_freed_before_the_filter_of_edges_is_sent(spark, monkeypatc
     monkeypatch.setattr(sets, "free_shuffles", lambda s: told.append(s))
     members = spark.createDataFrame([(x, g) for g in range(3) for x in (g, g + 5, g + 9)], "x long, k0 long")
     assert B.Packed.of_groups(members).sets is not None and len(told) == 1
+
+
+def test_many_pairs_travel_in_parts(spark, monkeypatch):
+    """The rows are those of one part; the shuffle of a part goes before the next."""
+    rng = np.random.default_rng(5)
+    members = spark.createDataFrame([(int(x), int(k)) for x, k in zip(rng.integers(0, 300, 900), rng.integers(0, 300, 900))], "x long, k0 long")
+    monkeypatch.setattr(B, "GATHERED", 60)
+    groups = B._by_group(members)
+    of = lambda rows: [(u, v) for r in rows.orderBy("p", "eid").collect() for u, v in zip(B._large(bytes(r.us)).tolist(), B._large(bytes(r.vs)).tolist())]
+    plain, told = of(B.sorted_rows(groups, B._pairs_of_groups)), []
+    monkeypatch.setattr(B, "free_shuffles", lambda s: told.append(s))
+    monkeypatch.setattr(B, "RANGE", 100)
+    monkeypatch.setattr(B, "RANGES", 1)
+    assert of(B.sorted_rows(groups, B._pairs_of_groups)) == plain == sorted(set(plain)) and len(plain) > 500 and len(told) == B.PASSES
+
+
+def test_the_filter_is_one_file_for_all(spark):
+    from edgeloom.operators import sets
+
+    one = sets.Shared(spark.range(1), "edge-filter", pa.chunked_array([[b"ab", b"c"]], pa.binary()))
+    assert one.sent is None and spark.range(1).rdd.map(lambda _: one.bytes().tobytes()).collect() == [b"abc"]
+    one.destroy()
+    with pytest.raises(FileNotFoundError):
+        one.bytes()
+
+
+def test_innermost_finds_the_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, i + 1, i % 7) for i in range(70)]
+    values = spark.createDataFrame(rows, "u long, v long, k long").repartition(5).mapInArrow(once, "u long, v long, k long")
+    assert sorted(tuple(r) for r in S.innermost(values).collect()) == [(u, v) for u, v, k in rows if k == 6]
+    assert seen.value == len(rows)
+    assert S.innermost(values.filter("k < 0")).collect() == []
